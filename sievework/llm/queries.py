@@ -3,9 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import license_scan
+from .mixing import mixed
+from .pii import pseudonymised
+from .quality import quality_verdicts
+from .secrets import digest_columns, secret_spans
+from .sharding import shards
 from .simhash import hex_fingerprint, simhash_groups
+from .urlrules import url_verdicts
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +29,42 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(groups.fp).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op5_quality": op5_quality,
+    "op7_shards": op7_shards,
+    "op8_mix": op8_mix,
+    "op9_licenses": op9_licenses,
+    "op10_urls": op10_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {}
