@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contaminations
 from .licenses import license_scan
+from .lines import removals
 from .mixing import mixed
 from .pii import pseudonymised
 from .quality import quality_verdicts
@@ -29,10 +31,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(groups.fp).alias("fingerprint"), "component_id")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removals(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "removed")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select(
@@ -60,7 +70,9 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_decontam": op4_decontam,
     "op5_quality": op5_quality,
+    "op6_lines": op6_lines,
     "op7_shards": op7_shards,
     "op8_mix": op8_mix,
     "op9_licenses": op9_licenses,
