@@ -12,12 +12,12 @@ from pyspark.sql.window import Window
 
 #: Legal state changes, fixed values.
 TRANSITIONS = {
-    "QUEUED": ("RUNNING", "CANCELLED", "FAILED"),
-    "RUNNING": ("SUCCEEDED", "FAILED", "CANCELLED", "PARTIAL"),
-    "PARTIAL": ("RUNNING", "SUCCEEDED", "FAILED"),
-    "FAILED": ("QUEUED", "DELETED"),
+    "QUEUED": ("RUNNING", "CANCELLED", "DEAD_LETTERED"),
+    "RUNNING": ("SUCCEEDED", "FAILED", "CANCELLED"),
     "SUCCEEDED": ("DELETED",),
-    "CANCELLED": ("QUEUED", "DELETED"),
+    "FAILED": ("QUEUED", "DEAD_LETTERED", "DELETED"),
+    "CANCELLED": ("DELETED",),
+    "DEAD_LETTERED": ("DELETED",),
     "DELETED": (),
 }
 RETENTION_DAYS = 30

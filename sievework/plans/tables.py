@@ -64,7 +64,7 @@ def purge_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {JOBS_SQL}, b AS (SELECT job_id, CASE job_id % 3 WHEN 0 THEN 'SUCCEEDED' WHEN 1 THEN 'FAILED' ELSE 'RUNNING' END AS target, CASE WHEN job_id % 5 = 0 THEN 2 ELSE 1 END AS ev FROM jobs WHERE job_id % 2 = 0),
-legal AS (SELECT * FROM (VALUES ('QUEUED', 'RUNNING'), ('QUEUED', 'FAILED'), ('RUNNING', 'SUCCEEDED'), ('RUNNING', 'FAILED')) AS t(f, t)),
+legal AS (SELECT * FROM (VALUES ('QUEUED', 'RUNNING'), ('RUNNING', 'SUCCEEDED'), ('RUNNING', 'FAILED')) AS t(f, t)),
 r AS (SELECT j.*, b.target, CASE WHEN target IS NULL THEN 'untouched' WHEN ev <> version THEN 'conflict' WHEN l.f IS NULL THEN 'illegal' ELSE 'updated' END AS outcome
   FROM jobs j LEFT JOIN b ON j.job_id = b.job_id LEFT JOIN legal l ON l.f = j.state AND l.t = b.target)
 SELECT job_id, CASE WHEN outcome = 'updated' THEN target ELSE state END AS state, version + CASE WHEN outcome = 'updated' THEN 1 ELSE 0 END AS version, outcome FROM r""")
