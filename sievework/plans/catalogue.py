@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, places, tables  # noqa: F401
+from . import evaluation, places, tables, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
