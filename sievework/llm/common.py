@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Byte table that lower-cases A-Z and turns every other ASCII byte outside
 #: 0-9a-z into a space; bytes of non-ASCII characters are kept.
@@ -40,3 +41,9 @@ def saved(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage, in the shared folder."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df, which is saved, with a broadcast hint if it has `most` rows or fewer;
+    beyond that the join shuffles, and adaptive execution splits its hot keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import saved, small_side
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -102,63 +102,60 @@ def fences(measures: DataFrame) -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high) for every lang and source.
 
     measures: lang, source and a struct column m. Documents that fail the base
-    rules are left out of the sketches; null lang and source are groups like
-    any other. One row a group, however many documents it has.
+    rules count for no quantile; null lang and source are groups like any
+    other. One row a group, however many documents it has.
     """
     values = shares("m")
     pairs = ", ".join(f"'{k}', {k}" for k in values)
-    bins = (
-        measures.withColumn("failed", base_failed("m"))
-        .select("lang", "source", "failed", *[v.alias(k) for k, v in values.items()])
+    nothing = F.lit(None).cast("string")
+    levels = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), nothing), (2, nothing, nothing)]
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, a, b in levels]))
+    sketches = (
+        measures.select("lang", "source", base_failed("m").alias("failed"), *[v.alias(k) for k, v in values.items()])
         .select("lang", "source", "failed", F.expr(f"stack({len(values)}, {pairs}) as (measure, value)"))
         .withColumn("bin", F.when(F.col("value") > 0, F.ceil(F.log("value") / F.lit(math.log(GAMMA)))))
         .groupBy("lang", "source", "measure", "bin")
         .agg(F.sum(F.when(F.col("failed"), 0).otherwise(1)).alias("n"))
+        # merged to languages and to the whole: at most some thousand bins a sketch
+        .select(at.alias("at"), "measure", "bin", "n")
+        .groupBy("at", "measure", "bin")
+        .agg(F.sum("n").alias("n"))
     )
-    bins = saved(bins)  # at most some thousand rows a group
-    found = bins.select("lang", "source").distinct()
-    for name, keys in (("own", ["lang", "source"]), ("tongue", ["lang"]), ("all", [])):
-        cut = _quartiles(bins, keys, name)
-        on = [F.col(k).eqNullSafe(F.col(f"{name}_{k}")) for k in keys]
-        joined = found.join(cut, on, "left") if on else found.join(cut, F.lit(True), "left")
-        found = joined.drop(*[f"{name}_{k}" for k in keys])
+    sketch = Window.partitionBy("at", "measure")
+    value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin")) * (2 / (GAMMA + 1)))
+    reached = lambda share: F.min(
+        F.when((F.col("n") > 0) & (F.col("upto") >= F.ceil(F.col("total") * share)), F.struct("bin", value.alias("v")))
+    )["v"]
+    quartiles = (
+        sketches.withColumn("upto", F.sum("n").over(sketch.orderBy(F.col("bin").asc_nulls_first())))
+        .withColumn("total", F.sum("n").over(sketch))
+        .groupBy("at", "measure")
+        .agg(F.struct(F.max("total").alias("n"), reached(0.25).alias("q1"), reached(0.5).alias("q2"), reached(0.75).alias("q3")).alias("q"))
+    )
+    quartiles = saved(quartiles.select("at.*", "measure", "q"))  # three levels read it
+    of = lambda level, name: quartiles.where(F.col("level") == level).select(
+        F.col("lang").alias(f"{name}_lang"), F.col("measure").alias(f"{name}_measure"), F.col("q").alias(name)
+    )
+    chosen = (
+        quartiles.where("level = 0")
+        .join(of(1, "tongue"), F.col("lang").eqNullSafe(F.col("tongue_lang")) & (F.col("measure") == F.col("tongue_measure")))
+        .join(of(2, "every"), F.col("measure") == F.col("every_measure"))
+        .withColumn(
+            "q", F.when(F.col("q.n") >= LEAST_GROUP, F.col("q")).when(F.col("tongue.n") >= LEAST_GROUP, F.col("tongue")).otherwise(F.col("every"))
+        )
+    )
+    spread = F.col("q.q3") - F.col("q.q1")
     out = []
     for k in values:
-        def pick(q: str, k=k) -> Column:
-            enough = lambda level: F.col(f"{level}_{k}_n") >= LEAST_GROUP
-            return F.coalesce(
-                F.when(enough("own"), F.col(f"own_{k}_{q}")), F.when(enough("tongue"), F.col(f"tongue_{k}_{q}")), F.col(f"all_{k}_{q}")
-            )
-
-        spread = pick("q3") - pick("q1")
-        out.append(F.greatest(pick("q3") + REACH * spread, pick("q2") + SLACK[k]).alias(f"{k}_high"))
-        low = F.least(pick("q1") - REACH * spread, pick("q2") - SLACK[k]) if k in TWO_SIDED else F.lit(float("-inf"))
-        out.append(low.alias(f"{k}_low"))
-    return found.select("lang", "source", *out)
-
-
-def _quartiles(bins: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Sketches merged to keys, and their quartiles: one row a group."""
-    merged = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy(*keys, "measure").orderBy(F.col("bin").asc_nulls_first())
-    ranked = merged.withColumn("upto", F.sum("n").over(order)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*keys, "measure"))
-    )
-    value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin")) * (2 / (GAMMA + 1)))
-    picked = []
-    for k in SLACK:
-        own = F.col("measure") == k
-        picked.append(F.max(F.when(own, F.col("total"))).alias(f"{name}_{k}_n"))
-        for q, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
-            reached = own & (F.col("n") > 0) & (F.col("upto") >= F.ceil(F.col("total") * share))
-            picked.append(F.min(F.when(reached, value)).alias(f"{name}_{k}_{q}"))
-    grouped = ranked.groupBy(*[F.col(k).alias(f"{name}_{k}") for k in keys]).agg(*picked)
-    return grouped
+        high = F.greatest(F.col("q.q3") + REACH * spread, F.col("q.q2") + SLACK[k])
+        low = F.least(F.col("q.q1") - REACH * spread, F.col("q.q2") - SLACK[k]) if k in TWO_SIDED else F.lit(float("-inf"))
+        out += [F.max(F.when(F.col("measure") == k, v)).alias(f"{k}_{side}") for side, v in (("low", low), ("high", high))]
+    return chosen.groupBy("lang", "source").agg(*out)
 
 
 def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """measures with base_failed and kept; limits: as fences() gives them."""
-    limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    limits = small_side(saved(limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})))
     joined = measures.join(
         limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left"
     )
@@ -189,5 +186,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     measures = plain.select(
         *inner, F.col(at("lang")).alias("lang"), F.col(at("source")).alias("source"), measured(F.col(at("text"))).alias("m")
     )
-    limits = saved(fences(measures.select("lang", "source", "m")))
-    return judged(measures, limits).where("kept").select(*inner).toDF(*names)
+    return judged(measures, fences(measures.select("lang", "source", "m"))).where("kept").select(*inner).toDF(*names)
