@@ -31,8 +31,9 @@ ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: A group with fewer documents takes the fences of its language, then of all.
 LEAST_GROUP = 200
-#: Inter-quartile ranges from the quartiles to the fences.
-REACH = 3.0
+#: Distance of the fences from the median, in widths of the quarter below it.
+#: The half above is not asked: up to half of a group may be junk.
+REACH = 6.0
 #: Measure: share that the fence stays above the median at least, so that a
 #: source whose documents are all alike does not reject every other one.
 SLACK = {"symbol_share": 0.05, "dup_line_share": 0.50, "repeat_share": 0.30, "word_length": 4.0}
@@ -126,29 +127,29 @@ def fences(measures: DataFrame) -> DataFrame:
     reached = lambda share: F.min(
         F.when((F.col("n") > 0) & (F.col("upto") >= F.ceil(F.col("total") * share)), F.struct("bin", value.alias("v")))
     )["v"]
-    quartiles = (
+    medians = (
         sketches.withColumn("upto", F.sum("n").over(sketch.orderBy(F.col("bin").asc_nulls_first())))
         .withColumn("total", F.sum("n").over(sketch))
         .groupBy("at", "measure")
-        .agg(F.struct(F.max("total").alias("n"), reached(0.25).alias("q1"), reached(0.5).alias("q2"), reached(0.75).alias("q3")).alias("q"))
+        .agg(F.struct(F.max("total").alias("n"), reached(0.25).alias("q1"), reached(0.5).alias("q2")).alias("q"))
     )
-    quartiles = saved(quartiles.select("at.*", "measure", "q"))  # three levels read it
-    of = lambda level, name: quartiles.where(F.col("level") == level).select(
+    medians = saved(medians.select("at.*", "measure", "q"))  # three levels read it
+    of = lambda level, name: medians.where(F.col("level") == level).select(
         F.col("lang").alias(f"{name}_lang"), F.col("measure").alias(f"{name}_measure"), F.col("q").alias(name)
     )
     chosen = (
-        quartiles.where("level = 0")
+        medians.where("level = 0")
         .join(of(1, "tongue"), F.col("lang").eqNullSafe(F.col("tongue_lang")) & (F.col("measure") == F.col("tongue_measure")))
         .join(of(2, "every"), F.col("measure") == F.col("every_measure"))
         .withColumn(
             "q", F.when(F.col("q.n") >= LEAST_GROUP, F.col("q")).when(F.col("tongue.n") >= LEAST_GROUP, F.col("tongue")).otherwise(F.col("every"))
         )
     )
-    spread = F.col("q.q3") - F.col("q.q1")
+    median, width = F.col("q.q2"), F.col("q.q2") - F.col("q.q1")
     out = []
     for k in values:
-        high = F.greatest(F.col("q.q3") + REACH * spread, F.col("q.q2") + SLACK[k])
-        low = F.least(F.col("q.q1") - REACH * spread, F.col("q.q2") - SLACK[k]) if k in TWO_SIDED else F.lit(float("-inf"))
+        reach = F.greatest(REACH * width, F.lit(SLACK[k]))
+        high, low = median + reach, median - reach if k in TWO_SIDED else F.lit(float("-inf"))
         out += [F.max(F.when(F.col("measure") == k, v)).alias(f"{k}_{side}") for side, v in (("low", low), ("high", high))]
     return chosen.groupBy("lang", "source").agg(*out)
 
