@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved, small_side
+
 BITS = 64
 #: Buckets up to this size are compared together, shifted against themselves.
-SMALL = 64
+SMALL = 128
 #: Words compared at a time in a larger bucket.
 SLAB = 1 << 16
 
@@ -131,29 +133,46 @@ def small_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def large_links(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of one bucket's pairs within the radius, as index pairs."""
+def large_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of one bucket within the radius: a slab of rows at
+    a time against the planes of all rows."""
     n = len(fps)
     planes, words = planes_of(fps), -(-n // BITS)
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    asks = np.where(np.unpackbits(fps.view(np.uint8), bitorder="little").reshape(n, BITS).T.astype(bool), ones, np.uint64(0))
-    unseen = np.ones(n, bool)
-    while unseen.any():
-        root = int(np.flatnonzero(unseen)[0])
-        unseen[root] = False
-        front = np.array([root])
-        while len(front) and unseen.any():
-            new = np.zeros(n, bool)
-            for part in np.array_split(front, max(1, len(front) * words // SLAB)):
-                def difference(b: int, at: np.ndarray, part=part) -> np.ndarray:
-                    return asks[b][part[at // words]] ^ planes[b][at % words]
-
-                masks = within_radius(difference, len(part) * words, radius).reshape(len(part), words)
-                new |= _unpacked(np.bitwise_or.reduce(masks, axis=0), n)
-            front = np.flatnonzero(new & unseen)
-            unseen[front] = False
-            for x in front:
-                yield root, int(x)
+    bits = np.unpackbits(fps.view(np.uint8), bitorder="little").reshape(n, BITS)
+    asks = np.where(bits.T, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    found_i, found_j = [], []
+    step = max(1, SLAB // words)
+    for first in range(0, n, step):
+        m = min(step, n - first)
+
+        def difference(b: int, at: np.ndarray, first=first) -> np.ndarray:
+            row, word = np.divmod(at, words)
+            return asks[b][first + row] ^ planes[b][word]
+
+        masks = within_radius(difference, m * words, radius)
+        full = np.flatnonzero(masks)
+        near = np.unpackbits(masks[full].view(np.uint8), bitorder="little").reshape(len(full), BITS)
+        which, bit = np.nonzero(near)
+        i, j = first + full[which] // words, full[which] % words * BITS + bit
+        later = (i < j) & (j < n)
+        found_i.append(i[later])
+        found_j.append(j[later])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs that connect what was not connected before them."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if (x := find(a)) != (y := find(b)):
+            parent[max(x, y)] = min(x, y)
+            yield a, b
 
 
 def spanning_links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,29 +183,18 @@ def spanning_links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np
     """
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
-    a, b = [], []
+    links: list[tuple[int, int]] = []
     small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
     if len(small):
         small = small[np.argsort(-sizes[small], kind="stable")]
         lengths = sizes[small]
         rows = np.repeat(starts[small] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(p, p)
-            return x
-
-        for i, j in zip(*(x.tolist() for x in small_pairs(fps[rows], lengths, radius)), strict=True):
-            if (x := find(i)) != (y := find(j)):
-                parent[max(x, y)] = min(x, y)
-                a.append(rows[i])
-                b.append(rows[j])
+        links += [(rows[i], rows[j]) for i, j in forest(*small_pairs(fps[rows], lengths, radius))]
     for k in np.flatnonzero(sizes > SMALL):
-        for i, j in large_links(fps[starts[k] : starts[k] + sizes[k]], radius):
-            a.append(starts[k] + i)
-            b.append(starts[k] + j)
-    return fps[np.array(a, int)], fps[np.array(b, int)]
+        first = starts[k]
+        links += [(first + i, first + j) for i, j in forest(*large_pairs(fps[first : first + sizes[k]], radius))]
+    ends = np.array(links, int).reshape(-1, 2)
+    return fps[ends[:, 0]], fps[ends[:, 1]]
 
 
 def block_masks(radius: int, kept: int) -> list[int]:
@@ -213,30 +221,27 @@ def hamming_links(fps: DataFrame, radius: int, kept: int = 2, chunk: int = 1024)
     Null fingerprints link nothing; no rows give no links.
     """
     masks = block_masks(radius, kept)
-    blocks = (
-        fps.where(F.col("fp").isNotNull())
-        .select("fp")
-        .distinct()
-        .select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "k"))
-    )
-    shared = blocks.groupBy("t", "k").agg(F.count("*").alias("m")).where("m > 1")
-    chunks = F.ceil(F.col("m") / chunk).cast("int")
+    # a bucket's key is a hash of table and block value; buckets that share a key by chance are compared in vain
+    keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]
+    blocks = fps.where(F.col("fp").isNotNull()).select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("k"))
+    hot = blocks.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > chunk)
+    hot = saved(hot.select("k", F.ceil(F.col("m") / chunk).cast("int").alias("n")))
+    cold = F.col("n").isNull()
+    c, j = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"), F.explode(F.when(cold, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1)))
     placed = (
-        blocks.join(shared, ["t", "k"])
-        .select("fp", "t", "k", chunks.alias("n"))
-        .select("*", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("c"))
-        .select("fp", "t", "k", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-        .select("fp", "t", "k", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"))
+        blocks.join(small_side(hot), "k", "left")
+        .select("fp", "k", "n", c.alias("c"), j.alias("j"))
+        .select("fp", "k", F.when(cold, 0).otherwise(F.least("c", "j") * F.col("n") + F.greatest("c", "j")).alias("pair"))
     )
-    keys = ["t", "k", "lo", "hi"]
+    by = ["k", "pair"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches, keys):
-            a, b = spanning_links(group_numbers(batch, keys), batch.column("fp").to_numpy().view(np.uint64), radius)
+        for batch in whole_groups(batches, by):
+            a, b = spanning_links(group_numbers(batch, by), batch.column("fp").to_numpy().view(np.uint64), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
 
 
 def group_numbers(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -248,7 +253,7 @@ def group_numbers(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Sorted batches dealt anew, at least `rows` rows at a time, never cutting a group."""
     held: list[pa.RecordBatch] = []
     n = 0
