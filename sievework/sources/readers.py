@@ -12,9 +12,9 @@ from pyspark.sql.window import Window
 MAX_SITEMAP_URLS = 500
 JSON_PREFIX = r"^\)\]\}'[^\n]*\n?"
 PLACE = (
-    "id string, displayName struct<text:string>, formattedAddress string, websiteUri string, nationalPhoneNumber string, "
-    "internationalPhoneNumber string, primaryTypeDisplayName struct<text:string>, primaryType string, types array<string>, "
-    "location struct<latitude:double,longitude:double>, rating double, userRatingCount int, googleMapsUri string, businessStatus string"
+    "id:string,displayName:struct<text:string>,formattedAddress:string,websiteUri:string,nationalPhoneNumber:string,"
+    "internationalPhoneNumber:string,primaryTypeDisplayName:struct<text:string>,primaryType:string,types:array<string>,"
+    "location:struct<latitude:double,longitude:double>,rating:double,userRatingCount:int,googleMapsUri:string,businessStatus:string"
 )
 
 
@@ -119,7 +119,7 @@ def filled(c: Column) -> Column:
 def places(answers: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
     """Places of stored answers (call_id, body), one row a place of a call; and
     (call_id, truncated), which counts all entries, readable or not."""
-    body = F.from_json("body", f"places array<struct<{PLACE.replace(' string', ':string').replace(' struct', ':struct').replace(' array', ':array').replace(' double', ':double').replace(' int', ':int')}>>")
+    body = F.from_json("body", f"places array<struct<{PLACE}>>")
     read = answers.withColumn("entries", body["places"])
     flags = read.select("call_id", (F.size("entries") >= cap).alias("truncated"))
     p = read.select("call_id", F.posexplode("entries").alias("pos", "p"))
