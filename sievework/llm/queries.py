@@ -10,6 +10,7 @@ from .decontam import contaminations
 from .licenses import license_scan
 from .lines import removals
 from .mixing import mixed
+from .oracles import ORACLE_SQL
 from .pii import pseudonymised
 from .quality import quality_verdicts
 from .secrets import digest_columns, secret_spans
@@ -79,4 +80,5 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
