@@ -142,3 +142,29 @@ def upserted(stored: DataFrame, incoming: DataFrame, key: str, kept: tuple[str,
 
 def inserted_if_absent(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(incoming.join(stored.select(key), key, "left_anti"))
+
+
+def patched(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """table with the given fields of the update batch; a null field leaves the stored value."""
+    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in updates.columns if c != key])
+    pick = lambda c: F.coalesce(f"new_{c}", c).alias(c) if c in updates.columns and c != key else F.col(c)
+    return table.join(new, key, "left").select(*[pick(c) for c in table.columns])
+
+
+def promoted(overlays: DataFrame, chosen: DataFrame) -> DataFrame:
+    """overlays after the chosen ones (overlay_id) go one step up: a candidate to
+    shadow, a shadow to active, which retires the domain's active one and is
+    remembered as the way back."""
+    marked = overlays.join(chosen.select("overlay_id", F.lit(True).alias("chosen")), "overlay_id", "left")
+    rising = marked.where("chosen and state = 'SHADOW'").groupBy("domain").agg(F.max("overlay_id").alias("riser"))
+    active = overlays.where("state = 'ACTIVE'").groupBy("domain").agg(F.max("overlay_id").alias("was_active"))
+    joined = marked.join(rising, "domain", "left").join(active, "domain", "left")
+    rises = F.col("overlay_id") == F.col("riser")
+    state = (
+        F.when(F.coalesce(rises, F.lit(False)), "ACTIVE")
+        .when(F.col("chosen") & (F.col("state") == "CANDIDATE"), "SHADOW")
+        .when((F.col("state") == "ACTIVE") & F.col("riser").isNotNull(), "ROLLED_BACK")
+        .otherwise(F.col("state"))
+    )
+    back = F.when(F.coalesce(rises, F.lit(False)), F.col("was_active")).otherwise(F.col("rollback_id"))
+    return joined.select("overlay_id", "domain", state.alias("state"), back.alias("rollback_id"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import jobs as op
-from ..operators.records import field_errors, first_broken
+from ..operators.policies import overlay_faults
+from ..operators.records import clustered, field_errors, first_broken
 from ..sources.tables import JOBS_SQL, as_of, jobs, load
 from .registry import query
 
@@ -200,3 +201,54 @@ def catalogue_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("same")
     )
     return old.join(new, "model", "full").select("model", change.alias("change"))
+
+
+@query("""WITH u AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'X' END AS c_mktsegment, CASE WHEN c_custkey % 6 = 0 THEN 0.0 END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
+SELECT c.c_custkey, coalesce(u.c_mktsegment, c.c_mktsegment) AS c_mktsegment, coalesce(u.c_acctbal, c.c_acctbal) AS c_acctbal FROM customer c LEFT JOIN u ON u.c_custkey = c.c_custkey""")
+def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after updates of some fields of some rows."""
+    table = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    key = F.col("c_custkey")
+    updates = table.where(key % 2 == 0).select(key, F.when(key % 4 == 0, "X").alias("c_mktsegment"), F.when(key % 6 == 0, 0.0).alias("c_acctbal"))
+    return op.patched(table, updates, "c_custkey")
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, p_partkey // 5 AS d, CASE p_partkey % 5 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'SHADOW' WHEN 2 THEN 'CANDIDATE' ELSE 'ROLLED_BACK' END AS state, p_size % 3 = 0 AS chosen FROM part),
+r AS (SELECT d, max(id) AS riser FROM o WHERE chosen AND state = 'SHADOW' GROUP BY 1), a AS (SELECT d, max(id) AS was FROM o WHERE state = 'ACTIVE' GROUP BY 1)
+SELECT id AS overlay_id, o.d AS domain, CASE WHEN coalesce(id = riser, false) THEN 'ACTIVE' WHEN chosen AND state = 'CANDIDATE' THEN 'SHADOW' WHEN state = 'ACTIVE' AND riser IS NOT NULL THEN 'ROLLED_BACK' ELSE state END AS state,
+  CASE WHEN coalesce(id = riser, false) THEN was END AS rollback_id FROM o LEFT JOIN r ON r.d = o.d LEFT JOIN a ON a.d = o.d""")
+def overlay_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays after a batch of approvals."""
+    key = F.col("p_partkey")
+    state = F.when(key % 5 == 0, "ACTIVE").when(key % 5 == 1, "SHADOW").when(key % 5 == 2, "CANDIDATE").otherwise("ROLLED_BACK")
+    table = load(spark, sf_dir, "part")
+    overlays = table.select(key.alias("overlay_id"), F.floor(key / 5).alias("domain"), state.alias("state"), F.lit(None).cast("long").alias("rollback_id"))
+    return op.promoted(overlays, table.where("p_size % 3 = 0").select(key.alias("overlay_id")))
+
+
+@query("""WITH c AS (SELECT date_trunc('day', ts) AS day, count(*) FILTER (WHERE event_type <> 'error') AS ok, count(*) AS total FROM events GROUP BY 1)
+SELECT CAST(day AS TIMESTAMP) AS day, total, round(100.0 * ok / total, 6) AS success_pct, total > 50 AND 100.0 * ok / total < 85 AS alert FROM c""")
+def success_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily success percentages; an alert needs over fifty attempts and below 85 %."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    counted = load(spark, sf_dir, "events").groupBy(day).agg(F.count_if(F.col("event_type") != "error").alias("ok"), F.count("*").alias("total"))
+    share = 100.0 * F.col("ok") / F.col("total")
+    return counted.select("day", "total", F.round(share, 6).alias("success_pct"), ((F.col("total") > 50) & (share < 85)).alias("alert"))
+
+
+@query("""SELECT p_partkey AS overlay_id, list_sort(list_filter(['name', 'price', 'url'], lambda x: NOT list_contains(m, x))) AS missing, list_sort(list_filter(m, lambda x: NOT list_contains(['name', 'price', 'url'], x))) AS extra
+FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ['name', 'price', 'url'] WHEN 1 THEN ['name', 'colour'] ELSE ['url', 'a', 'b'] END AS m FROM part)""")
+def overlay_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that overlays lack, and fields that their schema does not know."""
+    names = lambda *xs: F.array(*map(F.lit, xs))
+    key = F.col("p_partkey")
+    mapped = F.when(key % 3 == 0, names("name", "price", "url")).when(key % 3 == 1, names("name", "colour")).otherwise(names("url", "a", "b"))
+    table = load(spark, sf_dir, "part").select(key.alias("overlay_id"), overlay_faults(names("name", "price", "url"), mapped).alias("f"))
+    return table.select("overlay_id", "f.missing", "f.extra")
+
+
+@query()
+def legacy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose names are alike, of one brand and batch, under their first."""
+    table = load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(F.col("p_partkey") / 200).alias("batch"), "p_name", F.col("p_size").cast("string").alias("size"))
+    return clustered(table, ["p_brand", "batch"], "p_partkey", "p_name", "size").select("p_partkey", "group_no")
