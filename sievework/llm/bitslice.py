@@ -160,6 +160,16 @@ def large_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def near_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Index pairs of one group within the radius."""
+    if len(fps) <= 16:
+        values = fps.tolist()
+        yield from ((i, j) for j in range(len(fps)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= radius)
+    else:
+        i, j = large_pairs(fps, radius)
+        yield from zip(i.tolist(), j.tolist(), strict=True)
+
+
 def forest(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
     """The pairs that connect what was not connected before them."""
     parent: dict[int, int] = {}
@@ -197,10 +207,9 @@ def spanning_links(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np
     return fps[ends[:, 0]], fps[ends[:, 1]]
 
 
-def block_masks(radius: int, kept: int) -> list[int]:
-    """Masks of all choices of `kept` blocks out of radius + kept: two fingerprints
-    within the radius agree on at least one of them whole (pigeonhole)."""
-    n = radius + kept
+def block_masks(n: int, kept: int) -> list[int]:
+    """Masks of all choices of `kept` blocks out of n: two fingerprints within
+    n - kept bits agree on at least one of them whole (pigeonhole)."""
     cuts = [round(i * BITS / n) for i in range(n + 1)]
     blocks = [(1 << hi) - (1 << lo) for lo, hi in itertools.pairwise(cuts)]
     return [sum(c) for c in itertools.combinations(blocks, kept)]
@@ -210,17 +219,18 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> 63 else x
 
 
-def hamming_links(fps: DataFrame, radius: int, kept: int = 2, chunk: int = 1024) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int, kept: int = 2, chunk: int = 1024, n_blocks: int | None = None) -> DataFrame:
     """(a, b): links among the distinct fingerprints of column fp (long) that
     connect exactly what all pairs within the radius connect.
 
-    Candidates share `kept` of radius + kept blocks. A bucket over `chunk`
+    Candidates share `kept` of n_blocks blocks, radius + kept unless given;
+    with fewer blocks pairs beyond n_blocks - kept bits are found by chance. A bucket over `chunk`
     rows is split into chunks by hash and each pair of chunks is a group of
     its own, so that a task never holds more than about two chunks of one
     bucket, and no pair is skipped. Only spanning links leave a group.
     Null fingerprints link nothing; no rows give no links.
     """
-    masks = block_masks(radius, kept)
+    masks = block_masks(n_blocks or radius + kept, kept)
     # a bucket's key is a hash of table and block value; buckets that share a key by chance are compared in vain
     keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]
     blocks = fps.where(F.col("fp").isNotNull()).select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("k"))
@@ -271,3 +281,40 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         rows = max(rows, 2 * n)
     if held and sum(b.num_rows for b in held):
         yield pa.concat_batches(held)
+
+
+def verified_links(
+    batches: Iterator[pa.RecordBatch], content: str, radius: int, alike: Callable[[object, object], bool], key_type: pa.DataType,
+    prepare: Callable[[object], object] = lambda x: x,
+) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between the keys of rows (g, lo, hi, fp, key, content) whose
+    fingerprints are within the radius and whose contents are alike, group by
+    group. A pair that other links connect already is not compared."""
+    keys = ["g", "lo", "hi"]
+    for batch in whole_groups(batches, keys, rows=2_000):
+        numbers = group_numbers(batch, keys)
+        starts = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]), len(numbers)]
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        names, contents = batch.column("key").to_pylist(), batch.column(content)
+        a, b = [], []
+        for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            root = list(range(last - first))
+            ready: dict[int, object] = {}
+
+            def top(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            def at(i: int, first=first, ready=ready) -> object:
+                if i not in ready:
+                    ready[i] = prepare(contents[first + i].as_py())
+                return ready[i]
+
+            for i, j in near_pairs(fps[first:last], radius):
+                if (x := top(i)) != (y := top(j)) and alike(at(i), at(j)):
+                    root[max(x, y)] = min(x, y)
+                    a.append(names[first + i])
+                    b.append(names[first + j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, key_type), pa.array(b, key_type)], ["a", "b"])

@@ -43,6 +43,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of 16 MB where the session keeps the
+    default of 64 MB, so that a worker holds little at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, "16m")
+
+
 def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df, which is saved, with a broadcast hint if it has `most` rows or fewer;
     beyond that the join shuffles, and adaptive execution splits its hot keys."""

@@ -41,9 +41,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
             current.select(F.col("lo").alias("n"), F.col("hi").alias("m"))
         )
         least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = (
-            both.join(least, "n").where(F.col("m") > F.col("n")).select(F.col("m").alias("hi"), F.col("low").alias("lo"))
-        ).distinct()
+        large = both.join(least, "n").where(F.col("m") > F.col("n")).select(F.col("m").alias("hi"), F.col("low").alias("lo"))
         # small star: smaller neighbours and the node itself move to the smallest
         down = large.groupBy("hi").agg(F.min("lo").alias("low"))
         small = (

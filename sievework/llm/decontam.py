@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import bit_counts
-from .common import ALNUM
+from .common import ALNUM, small_batches
 
 #: Words of a shingle, and the similarity from which a window is a copy.
 WIDTH, SIMILAR = 5, 0.8
@@ -190,6 +190,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing. An item below five words is one shingle. Repeated documents and
     items each give rows. Other columns are ignored; empty tables give none.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = None
     for index in batches(benchmark.select("item_id", "text")):
@@ -230,6 +231,7 @@ def holds_any(text: Column, index: object) -> Column:
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a copy of a benchmark item; columns and
     their order stay, rows are not moved."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     kept = docs.toDF(*inner)

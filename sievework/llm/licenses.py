@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM
+from .common import ALNUM, small_batches
 
 #: Notice phrases of the base scan and their labels.
 BASE = {
@@ -176,4 +176,5 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Repeated rows each give a row; other columns are ignored; an empty table
     gives an empty table. A malformed expression adds nothing.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", scanned(F.col("text")).alias("s")).select("doc_id", "s.*")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved, small_side
+from .common import saved, small_batches, small_side
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -80,7 +80,8 @@ def measured(text: Column) -> Column:
         for part in parts:
             yield pd.DataFrame(np.array([measure(x) for x in part], np.int64).reshape(-1, len(names)), columns=names)
 
-    return measures(text.cast("binary"))
+    # not moved or repeated by the optimizer: a filter on the verdict must not measure anew
+    return measures.asNondeterministic()(text.cast("binary"))
 
 
 def shares(m: str) -> dict[str, Column]:
@@ -174,12 +175,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     empty table gives an empty table. Columns besides doc_id, text, lang and
     source are ignored.
     """
+    small_batches(docs.sparkSession)
     measures = saved(docs.select("doc_id", "lang", "source", "text").select("doc_id", "lang", "source", measured(F.col("text")).alias("m")))
     return judged(measures, fences(measures)).select("doc_id", "m.*", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without those that fail; columns and their order stay."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     at = lambda x: inner[names.index(x)]

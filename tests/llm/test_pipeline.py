@@ -8,19 +8,24 @@ from .cases import SCHEMA, edge_frame
 SF = "/root/testdata/sf0.001"
 
 
-def slow_groups(fps):
-    root = list(range(len(fps)))
+def slow_groups(texts):
+    """First members of the groups, over all pairs: fingerprints within the radius that share two of eight blocks, and similar texts."""
+    fps = [simhash.fingerprint(t.encode(), 5) % (1 << 64) for t in texts]
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for j in range(len(fps)):
+    for j in range(len(texts)):
         for i in range(j):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            x = fps[i] ^ fps[j]
+            whole = sum(not x >> 8 * k & 255 for k in range(8))
+            if x.bit_count() <= simhash.NEAR_RADIUS and whole >= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root[max(top(i), top(j))] = min(top(i), top(j))
-    return [top(i) for i in range(len(fps))]
+    return [top(i) for i in range(len(texts))]
 
 
 def test_stages_over_the_smallest_tables(spark):
@@ -32,8 +37,7 @@ def test_stages_over_the_smallest_tables(spark):
     assert kept == sorted(i for i, k in verdicts.items() if k) and good.columns == docs.columns
 
     first = corpus_pipeline.near_dedup(spark, good, SF)
-    fps = [simhash.fingerprint(texts[i].encode(), 5) % (1 << 64) for i in kept]
-    groups = slow_groups(fps)
+    groups = slow_groups([texts[i] for i in kept])
     unique = sorted(r.doc_id for r in first.collect())
     assert unique == [i for n, i in enumerate(kept) if groups[n] == n] and first.columns == docs.columns
 

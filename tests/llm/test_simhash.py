@@ -149,3 +149,21 @@ def test_keep_first_keeps_columns_and_one_row_of_each_group(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in rows if r.doc_id is not None) == [(False, x) for x in (3, 7, 9, 10)]
     assert sum(r.doc_id is None for r in rows) == 1
     assert simhash.keep_first_of_group(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_one_group_and_others_stay(spark):
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, heads = [], set()
+    for k in range(30):
+        base = make(300)
+        heads.add(100 * k)
+        rows.append((100 * k, " ".join(base), "en", "a", 1))
+        for i in range(1, 12):  # one word of three hundred changed: similarity 0.97
+            words = list(base)
+            words[rng.randrange(300)] = "changed"
+            rows.append((100 * k + i, " ".join(words), "en", "a", 1))
+        rows.append((100 * k + 50, " ".join(base[:150] + make(150)), "en", "a", 1))
+        heads.add(100 * k + 50)
+    got = {r.doc_id for r in simhash.keep_first_of_group(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert heads <= got and len(got - heads) <= 0.05 * len(rows)
