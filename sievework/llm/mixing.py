@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import saved, small_side
 from .sharding import prefix_sums
 
 WEIGHTS = (5, 2, 1)
@@ -97,6 +97,7 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     placed = prefix_sums(keys, ["source", "draw", "digest"], "size").drop("total", "n_rows", "number")
     starts = placed.groupBy("source").agg(F.min("before").alias("start"))
     per_source = totals.join(starts, totals.source.eqNullSafe(starts.source)).drop(starts.source).withColumnRenamed("source", "of_source")
+    per_source = small_side(saved(per_source))
     middle = F.col("before") - F.col("start") + F.col("size") / 2
     copies = F.col("epochs") + F.when((F.col("epochs") < EPOCHS) & (F.col("size") > 0) & (middle <= F.col("budget")), 1).otherwise(0)
     return (
@@ -127,7 +128,7 @@ def mixture(docs: DataFrame, seed: str = SEED) -> DataFrame:
     draw, digest = draw_key(at("doc_id"), at("text"), quality_weight(at("text")), seed)
     once_more = F.when((word_count(at("text")) > 0) & (F.struct(draw.alias("draw"), digest.alias("digest")) <= F.col("last")), 1).otherwise(0)
     return (
-        plain.join(cuts, at("source").eqNullSafe(F.col("of_source")))
+        plain.join(small_side(cuts), at("source").eqNullSafe(F.col("of_source")))
         .withColumn("copies", F.col("epochs") + once_more)
         .where("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
