@@ -9,10 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bitslice import hamming_links, majority, verified_links
+from .bitslice import group_numbers, hamming_links, majority, whole_groups
 from .common import saved, small_batches
 from .components import connected_components
 
@@ -77,11 +77,15 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Near copies of the pipeline: five-word shingles, similarity, bits in which
-#: their fingerprints may differ, blocks (two of them shared), texts compared in
-#: one place. Fingerprints of similarity 0.8 differ in 9.6 of 64 bits on
-#: average, those of 0.9 in 6.5; all within 6 bits share two of eight blocks.
-WIDTH, SIMILAR, NEAR_RADIUS, NEAR_BLOCKS, CHUNK = 5, 0.8, 12, 8, 256
+#: Near copies of the pipeline: five-word shingles, similarity, texts compared in one place.
+WIDTH, SIMILAR, CHUNK = 5, 0.8, 256
+#: Bits within which fingerprints of near copies mostly lie: those of similarity
+#: 0.8 differ in 9.6 of 64 bits on average. The search itself is by shingles.
+NEAR_RADIUS = 12
+#: Shingles whose hash falls in so many of eight classes are counted over all texts.
+SAMPLED = 3
+#: Classes of the shingle counts that a pair is weighed by before its shingles are compared.
+CLASSES = 128
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -99,8 +103,140 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= SIMILAR * (len(a) + len(b) - shared) - 1e-9
 
 
+def own_shingles(text: bytes | None) -> np.ndarray:
+    """The text's distinct shingles; texts without words share one that stands for none."""
+    h = np.unique(shingle_hashes(text or b"", WIDTH))
+    return h if len(h) else np.zeros(1, np.uint64)
+
+
+def shingle_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, mark, n, m) from (doc_id, mark, text): the number of the text's
+    shingles, and of those in the sampled classes."""
+    for batch in batches:
+        every = [own_shingles(x) for x in batch.column("text").to_pylist()]
+        n, m = [len(h) for h in every], [int((h & np.uint64(7) < SAMPLED).sum()) for h in every]
+        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(m, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "m"])
+
+
+def exploded(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
+    """(mark, h) from (mark, text): the shingles in so many of eight classes."""
+    for batch in batches:
+        every = [own_shingles(x) for x in batch.column("text").to_pylist()]
+        every = [h[h & np.uint64(7) < classes] for h in every]
+        marks = np.repeat(batch.column("mark").to_numpy(), [len(h) for h in every])
+        hs = np.concatenate([*every, np.zeros(0, np.uint64)]).view(np.int64)
+        for k in range(0, len(hs), 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(marks[k : k + (1 << 20)]), pa.array(hs[k : k + (1 << 20)])], ["mark", "h"])
+
+
+def sampled_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return exploded(batches, SAMPLED)
+
+
+def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return exploded(batches, 8)
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(mark, h, df) of the shingles that df > 1 texts have, from (mark, h) sorted by h."""
+    for batch in whole_groups(batches, ["h"]):
+        h, mark = (batch.column(x).to_numpy() for x in ("h", "mark"))
+        at = np.lexsort((mark, h))
+        h, mark = h[at], mark[at]
+        first = np.r_[True, (h[1:] != h[:-1]) | (mark[1:] != mark[:-1])]  # equal texts count once
+        h, mark = h[first], mark[first]
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        sizes = np.diff(np.r_[starts, len(h)])
+        df = np.repeat(sizes, sizes)
+        yield mark[df > 1], h[df > 1], df[df > 1]
+
+
+def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, shared): how many of a text's shingles other texts have too, in parts to be added up."""
+    for mark, _, _ in shared_rows(batches):
+        marks, n = np.unique(mark, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(n)], ["mark", "shared"])
+
+
+def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for mark, h, df in shared_rows(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(mark), pa.array(h), pa.array(df)], ["mark", "h", "df"])
+
+
+def possible_pairs(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Index pairs that can be similar: a pair of similarity 0.8 differs in a
+    ninth of its shingles at most, and so do the counts of any classes."""
+    sizes = np.array([len(x) for x in sets])
+    counts = np.stack([np.bincount((x >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES) for x in sets]).astype(np.int32)
+    for i in range(len(sets) - 1):
+        apart = np.abs(counts[i + 1 :] - counts[i]).sum(axis=1)
+        most = (1 - SIMILAR) / (1 + SIMILAR) * (sizes[i + 1 :] + sizes[i]) + 1e-6
+        yield from ((i, j) for j in (i + 1 + np.flatnonzero(apart <= most)).tolist())
+
+
 def near_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return verified_links(batches, "text", NEAR_RADIUS, similar, pa.int64(), shingle_set)
+    """Links (a, b) between the marks of rows (g, lo, hi, mark, text) whose texts
+    are similar, group by group. A pair that other links connect already is not
+    compared."""
+    keys = ["g", "lo", "hi"]
+    for batch in whole_groups(batches, keys, rows=2_000):
+        numbers = group_numbers(batch, keys)
+        starts = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]), len(numbers)]
+        marks, texts = batch.column("mark").to_pylist(), batch.column("text")
+        a, b = [], []
+        for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            sets = [own_shingles(texts[i].as_py()) for i in range(first, last)]
+            root = list(range(last - first))
+
+            def top(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in possible_pairs(sets):
+                if (x := top(i)) != (y := top(j)) and similar(sets[i], sets[j]):
+                    root[max(x, y)] = min(x, y)
+                    a.append(marks[first + i])
+                    b.append(marks[first + j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def by_shingle(rows: DataFrame) -> DataFrame:
+    return rows.repartition("h").sortWithinPartitions("h")
+
+
+def sharing(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(mark, n, first): the texts of (mark, n, m, order) that can have a near copy.
+
+    All but a fifth of such a text's shingles are in the copy, so that a text
+    with more that no other text has is left out. Those of the sampled classes
+    are counted, over all texts; that leaves out fewer, never more.
+    """
+    rows = texts.select("mark", "text").mapInArrow(sampled_shingles, "mark long, h long")
+    shared = by_shingle(rows).mapInArrow(shared_counts, "mark long, shared long").groupBy("mark").agg(F.sum("shared").alias("shared"))
+    firsts = signed.groupBy("mark").agg(F.min("order").alias("first"), F.first("n").alias("n"), F.first("m").alias("m"))
+    alone = F.col("m") - F.coalesce("shared", F.lit(0))
+    return firsts.join(shared, "mark", "left").where(alone <= F.floor(F.col("n") / 5)).select("mark", "n", "first")
+
+
+def candidate_links(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): links that connect all texts of (mark, text) that can be similar;
+    sizes: (mark, n).
+
+    With the shingles of all texts in one order, the rarest first, texts of
+    similarity 0.8 have one in common among the first fifth, and one more, of
+    each: the prefix filter. Texts that share such a shingle are linked by the
+    smallest of them. Shingles of one text alone stand before all others and
+    link nothing, so that their number is enough.
+    """
+    rows = by_shingle(texts.mapInArrow(all_shingles, "mark long, h long")).mapInArrow(shared_shingles, "mark long, h long, df long")
+    whole = Window.partitionBy("mark")
+    placed = rows.select("mark", "h", F.row_number().over(whole.orderBy("df", "h")).alias("rank"), F.count("*").over(whole).alias("shared"))
+    early = placed.join(sizes, "mark").where(F.col("n") - F.col("shared") + F.col("rank") <= F.floor(F.col("n") / 5) + 1)
+    early = saved(early.select("h", "mark"))
+    return early.join(early.groupBy("h").agg(F.min("mark").alias("low")), "h").select(F.col("mark").alias("a"), F.col("low").alias("b"))
 
 
 def keep_first_of_group(docs: DataFrame) -> DataFrame:
@@ -108,41 +244,44 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
     (doc_id, text hash), null doc_ids last. Columns and their order stay; rows
     equal in doc_id and text count as one document.
 
-    Texts are linked if they are equal, or if their fingerprints are within
-    NEAR_RADIUS and the similarity of their five-word shingles is SIMILAR or
-    more. Texts without words, null ones among them, are one group. Texts of
-    candidates alone are shuffled and compared, in chunks of CHUNK.
+    Texts are linked if they are equal, or if the similarity of their five-word
+    shingles is SIMILAR or more; no such pair is passed over. Texts without
+    words, null ones among them, are one group. Texts of candidates alone are
+    shuffled and compared, in chunks of CHUNK.
     """
     small_batches(docs.sparkSession)
     mark = F.xxhash64("text")
-    signed = saved(
-        docs.select("doc_id", "text").select("doc_id", mark.alias("mark"), fingerprint_column(F.col("text"), WIDTH).alias("fp"))
-    )
+    texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
+    signed = saved(texts.mapInArrow(shingle_numbers, "doc_id long, mark long, n int, m int"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    texts = saved(signed.groupBy("fp", "mark").agg(F.min(order).alias("first")))
-    near = connected_components(hamming_links(texts.select("fp"), NEAR_RADIUS, n_blocks=NEAR_BLOCKS), "a", "b").withColumnRenamed("node", "fp")
-    twice = texts.groupBy("fp").count().where("count > 1").select("fp")
-    groups = near.join(twice, "fp", "full").select("fp", F.coalesce("root", "fp").alias("g"))
-    key = F.xxhash64("fp", "mark")  # names a candidate among candidates only
-    candidates = saved(texts.join(groups, "fp").select("fp", "mark", "g", key.alias("key"), "first"))
+    signed = signed.withColumn("order", order)
+    able = saved(sharing(signed, texts))
+
+    def with_text(wanted: DataFrame) -> DataFrame:
+        """The text of each row's first document."""
+        wanted = wanted.withColumn("of_id", F.col("first.doc_id")).withColumnRenamed("mark", "of_mark").drop("first")
+        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+        return found.drop("doc_id", "of_id", "of_mark")
+
+    links = candidate_links(with_text(able.select("mark", "first")).select("mark", "text"), able.select("mark", "n"))
+    groups = connected_components(links, "a", "b").select(F.col("node").alias("mark"), F.col("root").alias("g"))
+    candidates = saved(able.join(groups, "mark").select("mark", "first", "g"))
     sizes = candidates.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    wanted = candidates.select("g", "fp", "key", F.col("first.doc_id").alias("of_id"), F.col("mark").alias("of_mark"))
     dealt = (
-        docs.select("doc_id", "text", mark.alias("mark"))
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
-        .join(sizes, "g")
-        .withColumn("c", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        with_text(candidates.join(sizes, "g"))
+        .withColumn("c", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
         .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("g", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), "fp", "key", "text")
+        .select("g", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), "mark", "text")
     )
     by = ["g", "lo", "hi"]
     links = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(near_copies, "a long, b long")
-    roots = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    linked = candidates.join(roots, "key").select("root", "fp", "mark", "first")
+    roots = connected_components(links, "a", "b").withColumnRenamed("node", "mark")
+    linked = candidates.join(roots, "mark").select("root", "mark", "first")
     heads = linked.groupBy("root").agg(F.min("first").alias("first"))
     # a text's own first row stays, unless its group has an earlier one
-    lost = linked.join(heads.withColumnRenamed("first", "head"), "root").where(F.col("first") != F.col("head")).select("fp", "mark")
-    winners = texts.join(lost, ["fp", "mark"], "left_anti").select(F.col("first.doc_id").alias("won_id"), F.col("mark").alias("won_mark"))
+    lost = linked.join(heads.withColumnRenamed("first", "head"), "root").where(F.col("first") != F.col("head")).select("mark")
+    firsts = signed.groupBy("mark").agg(F.min("order").alias("first"))
+    winners = firsts.join(lost, "mark", "left_anti").select(F.col("first.doc_id").alias("won_id"), F.col("mark").alias("won_mark"))
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # no column of docs can clash with the helpers
     plain = docs.toDF(*inner)

@@ -167,3 +167,29 @@ def test_near_copies_are_one_group_and_others_stay(spark):
         heads.add(100 * k + 50)
     got = {r.doc_id for r in simhash.keep_first_of_group(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert heads <= got and len(got - heads) <= 0.05 * len(rows)
+
+
+def all_pairs_first(rows):
+    """doc_ids of the first members of the groups, by shingle similarity alone."""
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    root = slow_components(list(sets), linked)
+    return {min(x for x in sets if root[x] == r) for r in set(root.values())}
+
+
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"often{k}" for k in range(30)]  # in most texts
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 40, 150, 400]))]
+        if k % 2:
+            base[5:5] = passage
+        rows.append((10 * k, " ".join(base)))
+        for i in range(1, 6):  # about one in fifty words changed, dropped or put in: similarity about 0.8
+            words = [w for x in base for w in ([x] if rng.random() > 0.02 else rng.choice([[], ["new", x], ["other"]]))]
+            rows.append((10 * k + i, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    for chunk in (256, 4):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        assert {r.doc_id for r in simhash.keep_first_of_group(docs).collect()} == all_pairs_first(rows)
