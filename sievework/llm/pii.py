@@ -21,8 +21,12 @@ PATTERNS = {
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
     r"|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    # a card does not end within a social security or phone number
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9]{2}-[0-9]{4}(?![0-9])|[-.][0-9]{3}[-.][0-9]{4}(?![0-9]))",
 }
+#: What every match has: an at sign, or two digits at most one sign apart.
+NEEDED = "@|[0-9][ .-]?[0-9]"
+MOST_DIGITS, LEAST_DIGITS = 19, 13
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Dates lie in this 400-year cycle, whose 146097 days are 189 times 773.
 FIRST_DAY, LAST_DAY, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", "2199-12-31", 189, 773
@@ -118,6 +122,26 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def inner_card(value: Column) -> Column:
+    """Struct (at, n): place (from 1) and length of the first, then longest run
+    of whole pieces of a card match, cut at its spaces and dashes, that is a
+    valid card; null if none is."""
+    ends = F.filter(F.sequence(F.lit(0), F.length(value)), lambda i: (i == 0) | (i == F.length(value)) | F.substring(value, i + 1, F.lit(1)).isin(" ", "-"))
+
+    def runs(i: Column) -> Column:
+        at = F.when(i == 0, 1).otherwise(i + 2)
+        longest_first = F.reverse(F.filter(ends, lambda j: j > i))
+        made = F.transform(longest_first, lambda j: F.struct(at.alias("at"), (j - at + 1).alias("n")))
+        return F.filter(made, lambda r: _valid_card(F.substring(value, r["at"], r["n"])))
+
+    return F.get(F.flatten(F.transform(ends, runs)), F.lit(0))
+
+
+def _valid_card(value: Column) -> Column:
+    digits = _digits(value)
+    return F.when(F.length(digits).between(LEAST_DIGITS, MOST_DIGITS), luhn_sum(digits) % 10 == 0).otherwise(False)
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The value's pseudonym within its format."""
     digits = _digits(value)
@@ -153,22 +177,43 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
+def found_in(match: Column) -> Column:
+    """Struct (v, k, before, after): the value of a match, its kind, and what of
+    the match stands around it."""
+    none, kind = F.lit(""), kind_of(match)
+    card = F.when(kind.isNull() & match.rlike(f"^(?:{PATTERNS['card']})$") & match.rlike("[ -]"), inner_card(match))
+
+    def cut(x: Column) -> Column:
+        c, end = x["card"], x["card"]["at"] + x["card"]["n"]
+        inner = c.isNotNull()
+        return F.struct(
+            F.when(inner, F.substring(match, c["at"], c["n"])).otherwise(match).alias("v"),
+            F.when(inner, "card").otherwise(x["kind"]).alias("k"),
+            F.when(inner, F.substring(match, F.lit(1), c["at"] - 1)).otherwise(none).alias("before"),
+            F.when(inner, F.substring(match, end, F.length(match))).otherwise(none).alias("after"),
+        )
+
+    # one-element array: kind and card are computed once
+    return F.get(F.transform(F.array(F.struct(kind.alias("kind"), card.alias("card"))), cut), F.lit(0))
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with its personal values replaced, and n_<kind> for each
     kind, one row a document.
 
     Cards must pass the Luhn check and keep passing it, octets are 255 at
     most, dates exist and lie in 1800-2199; numbers that fail stay as they
-    are. Digits move within a value's own layout. Letters cannot be permuted
+    are. Where digits around a card make the match no card, the card within it
+    is taken. Digits move within a value's own layout. Letters cannot be permuted
     among numbers: the local part of an address becomes a keyed digest. A null
     text stays null with zero counts. Repeated rows each give a row; other
     columns are ignored; an empty table gives an empty table.
     """
     text = F.col("text")
-    matches = F.when(text.rlike("[0-9]{2}|@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    found = docs.select("doc_id", "text", F.transform(matches, lambda m: F.struct(m.alias("v"), kind_of(m).alias("k"))).alias("found"))
+    matches = F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = docs.select("doc_id", "text", F.transform(matches, found_in).alias("found"))
     parts = F.split(text, ANY, -1)
-    new = F.transform("found", lambda f: pseudonym(f["v"], f["k"], key))
+    new = F.transform("found", lambda f: F.concat(f["before"], pseudonym(f["v"], f["k"], key), f["after"]))
     rebuilt = F.concat_ws("", F.flatten(F.zip_with(parts, new, lambda p, v: F.array(p, F.coalesce(v, F.lit(""))))))
     any_valid = F.exists("found", lambda f: f["k"].isNotNull())
     count = lambda k: F.coalesce(F.size(F.filter("found", lambda f: f["k"] == k)), F.lit(0))

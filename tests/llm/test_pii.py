@@ -50,3 +50,29 @@ def test_edge_cases(spark):
     assert sum(r.text is None for r in got) == 1
     assert all(r.n_card == r.n_ip == r.n_email == 0 for r in got)
     assert pii.pseudonymised(edge_frame(spark).limit(0)).count() == 0
+
+
+def test_a_value_alone_in_its_text_is_found(spark):
+    cases = {
+        "ip": ["8.8.8.8", "1.1.1.1"],
+        "card": ["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"],
+        "email": ["a@b.c"],
+        "date": ["1987-02-28"],
+        "phone": ["+1 (743) 555-3824", "(743) 555-3824", "743.555.3824"],
+        "ssn": ["123-45-6789"],
+    }
+    rows = [(i, f"see {v} here", "en", k, 1) for i, (k, v) in enumerate((k, v) for k, vs in cases.items() for v in vs)]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, _, kind, _ in rows:
+        assert got[i].text != text and got[i][f"n_{kind}"] == 1, text
+
+
+def test_cards_beside_other_digits(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [card, spaced, f"{spaced} 123", f"{card} 50", f"12 {card}", f"7-{card}-50", f"{spaced} 123-45-6789", f"{card} {card}", "1234 5678 9012 3456 78"]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    new, wide = got[0].text, got[1].text
+    assert new != card and luhn(new) and wide.replace(" ", "") == new
+    assert [got[i].text for i in (2, 3, 4, 5, 7, 8)] == [f"{wide} 123", f"{new} 50", f"12 {new}", f"7-{new}-50", f"{new} {new}", texts[8]]
+    assert got[6].text.startswith(f"{wide} ") and not got[6].text.endswith("123-45-6789") and got[6].n_ssn == 1
+    assert [got[i].n_card for i in range(9)] == [1, 1, 1, 1, 1, 1, 1, 2, 0]
