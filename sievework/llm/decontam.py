@@ -138,7 +138,7 @@ def similarity(window: np.ndarray, item: Item) -> float:
 def find(text: bytes | None, index: Index, known: WordHashes) -> list[tuple[object, int, int, int, float]]:
     """(item_id, first_word, n_words, n_windows, similarity) of each item of
     which the text has a copy; the place is that of the best window, the first
-    of equals.
+    of equals. A text shorter than an item is one window.
 
     A window can reach the similarity only if at least 2s / (1 + s) of its
     shingles are among those of items of its length, so that only such windows
@@ -146,6 +146,16 @@ def find(text: bytes | None, index: Index, known: WordHashes) -> list[tuple[obje
     """
     words = word_hashes(text, known)
     best: dict[int, tuple] = {}
+
+    def compare(window: np.ndarray, i: int, length: int, n_words: int) -> None:
+        for item in index.near(simhash(window), length):
+            s = similarity(window, item)
+            if s >= SIMILAR - 1e-12:
+                was = best.get(id(item))
+                n = (was[3] if was else 0) + 1
+                new = (item.item_id, i, n_words, n, s)
+                best[id(item)] = new if not was or s > was[4] else (*was[:3], n, was[4])
+
     for width, (slots, values) in index.gates.items():
         h = shingles(words, width)
         hits = np.flatnonzero(slots[h >> np.uint64(44)])
@@ -156,20 +166,18 @@ def find(text: bytes | None, index: Index, known: WordHashes) -> list[tuple[obje
             continue
         for length, own in index.by_length.items():
             m = length - width + 1
-            if min(WIDTH, length) != width or m > len(h):
+            if min(WIDTH, length) != width:
+                continue
+            if m > len(h):
+                shared = np.isin(h[hits], own).sum()
+                if len(h) >= SIMILAR * m - 1e-9 and shared >= SIMILAR / (1 + SIMILAR) * (m + len(h)) - 1e-9:
+                    compare(h, 0, length, len(words))
                 continue
             marks = np.zeros(len(h) + 1, np.int64)
             marks[hits[np.isin(h[hits], own)] + 1] = 1
             upto = np.cumsum(marks)
             for i in np.flatnonzero(upto[m:] - upto[:-m] >= 2 * SIMILAR / (1 + SIMILAR) * m - 1e-9).tolist():
-                window = h[i : i + m]
-                for item in index.near(simhash(window), length):
-                    s = similarity(window, item)
-                    if s >= SIMILAR - 1e-12:
-                        was = best.get(id(item))
-                        n = (was[3] if was else 0) + 1
-                        new = (item.item_id, i, length, n, s)
-                        best[id(item)] = new if not was or s > was[4] else (*was[:3], n, was[4])
+                compare(h[i : i + m], i, length, length)
     return list(best.values())
 
 

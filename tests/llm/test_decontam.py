@@ -96,3 +96,28 @@ def test_edge_cases(spark):
     assert decontam.contaminations(docs.limit(0), items).count() == 0
     assert decontam.contaminations(docs, items.limit(0)).count() == 0
     assert decontam.without_benchmark(docs, items).count() == docs.count()
+
+
+def test_texts_shorter_than_the_item_are_compared_whole(spark):
+    rng = random.Random(6)
+    items = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (15, 16, 40, 40, 60, 200)] + [["a", "b"] * 20, ["four", "words", "are", "few"]]
+    index = decontam.build_index([(i, " ".join(x).encode()) for i, x in enumerate(items)])
+    found = 0
+    for i, item in enumerate(items):
+        for first in range(6):
+            for dropped in range(len(item) // 3):
+                text = item[first : len(item) - dropped]
+                if len(text) == len(item) or len(text) < 5:
+                    continue
+                own, part = multiset(item, min(5, len(item))), multiset(text, min(5, len(item)))
+                want = sum((own & part).values()) / sum((own | part).values())
+                got = {f[0]: f for f in decontam.find(" ".join(text).encode(), index, decontam.WordHashes())}
+                assert (i in got) == (want >= 0.8)
+                if i in got:
+                    found += 1
+                    assert got[i][1:4] == (0, len(text), 1) and abs(got[i][4] - want) < 1e-9
+    assert found > 100
+    docs = spark.createDataFrame([(1, " ".join(items[5][:-5]), "en", "a", 1), (2, " ".join(items[5][:100]), "en", "a", 1)], SCHEMA)
+    frame = spark.createDataFrame([(5, " ".join(items[5]))], ITEM)
+    assert [(r.doc_id, r.item_id, r.n_words) for r in decontam.contaminations(docs, frame).collect()] == [(1, 5, 195)]
+    assert [r.doc_id for r in decontam.without_benchmark(docs, frame).collect()] == [2]
