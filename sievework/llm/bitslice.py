@@ -285,12 +285,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
 
 def verified_links(
     batches: Iterator[pa.RecordBatch], content: str, radius: int, alike: Callable[[object, object], bool], key_type: pa.DataType,
-    prepare: Callable[[object], object] = lambda x: x,
+    keys: list[str],
 ) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between the keys of rows (g, lo, hi, fp, key, content) whose
+    """Links (a, b) between the keys of rows (fp, key, content) whose
     fingerprints are within the radius and whose contents are alike, group by
-    group. A pair that other links connect already is not compared."""
-    keys = ["g", "lo", "hi"]
+    group of `keys`. A pair that other links connect already is not compared."""
     for batch in whole_groups(batches, keys, rows=2_000):
         numbers = group_numbers(batch, keys)
         starts = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]), len(numbers)]
@@ -308,7 +307,7 @@ def verified_links(
 
             def at(i: int, first=first, ready=ready) -> object:
                 if i not in ready:
-                    ready[i] = prepare(contents[first + i].as_py())
+                    ready[i] = contents[first + i].as_py()
                 return ready[i]
 
             for i, j in near_pairs(fps[first:last], radius):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +56,40 @@ def small_side(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df, which is saved, with a broadcast hint if it has `most` rows or fewer;
     beyond that the join shuffles, and adaptive execution splits its hot keys."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Bits of a membership filter: sixteen a value, between these bounds (8 KB and 32 MB).
+FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 28
+
+
+def membership(values: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of hashes (long), as an array of words.
+
+    Tasks set bits and the words are united before they reach the driver, so
+    that MOST_BITS bounds what it gets, however many values there are. With
+    more values than it has bits for it lets more rows through, never fewer:
+    what it lets through is joined again.
+    """
+    bits = FEWEST_BITS
+    n = values.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    places = F.array(F.col(column), F.shiftrightunsigned(column, 29))
+    at = values.select(F.explode(places).alias("h")).select(F.pmod("h", F.lit(bits)).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
+    )
+    out = np.zeros(bits // 64, np.int64)
+    found = words.toArrow()
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return out.view(np.uint64)
+
+
+def is_member(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (uint64) may be in the filter."""
+    mask = np.uint64(len(words) * 64 - 1)
+    out = np.ones(len(hashes), bool)
+    for h in (hashes, hashes >> np.uint64(29)):
+        bit = h & mask
+        out &= (words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out

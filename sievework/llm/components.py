@@ -1,18 +1,67 @@
-"""Connected components by alternating large-star and small-star rounds.
+"""Connected components by rounds of local contraction.
 
-Every round is made of joins and minimum aggregates on an edge table, so no
-component is ever gathered in one task or on the driver. Minimum aggregates
-combine before the shuffle; the joins are plain equi-joins, which adaptive
-execution splits when a node is a hub.
+In each round every edge goes to where its larger end is the key and to where
+its smaller end is, each task unites what it holds and links every node to the
+smallest of its part. No component is gathered in one task or on the driver:
+the edges of a hub, which is the smaller end of many, are dealt over SALTS
+places by their larger end, and the hub's own edge upwards goes to all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
+#: Places over which the edges of one node are dealt.
+SALTS = 8
+#: Edges that a task unites at a time; what they link is what the next take up.
+AT_ONCE = 1 << 20
+
+
+def united(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reached) for each node that is not the smallest.
+
+    Pointer jumping on whole arrays: every node takes the smallest label of
+    its neighbours, and labels are shortened until nothing changes.
+    """
+    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = at[: len(hi)], at[len(hi) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        was = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (shorter := label[label]).tobytes() != label.tobytes():
+            label = shorter
+        if np.array_equal(was, label):
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hi, lo): each node of the task's edges linked to the smallest of its part."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n, most = 0, AT_ONCE
+    for batch in batches:
+        held.append((batch.column("hi").to_numpy(), batch.column("lo").to_numpy()))
+        n += batch.num_rows
+        if n >= most:
+            held = [united(*map(np.concatenate, zip(*held, strict=True)))]
+            n = len(held[0][0])
+            most = max(AT_ONCE, 2 * n)
+    if held:
+        hi, lo = united(*map(np.concatenate, zip(*held, strict=True)))
+        for k in range(0, len(hi), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(hi[k : k + (1 << 18)]), pa.array(lo[k : k + (1 << 18)])], ["hi", "lo"])
+
 
 def _state(edges: DataFrame) -> tuple:
     """A digest of the edge set: its size and the xor of its hashes."""
@@ -22,36 +71,22 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node reachable.
 
-    Self-loops, repeated edges, either direction and null ends are allowed: a
-    row with a null end or equal ends links nothing and is left out. No edges
-    give an empty table. The loop ends when a round changes nothing.
+    Nodes are long integers. Self-loops, repeated edges, either direction and
+    null ends are allowed: a row with a null end or equal ends links nothing
+    and is left out. No edges give an empty table. The loop ends when a round
+    changes nothing.
     """
-    ends = F.least(a, b), F.greatest(a, b)
-    current = saved(
-        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(ends[1].alias("hi"), ends[0].alias("lo"))
-        .distinct()
-    )
+    ends = F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")
+    given = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    current = saved(given.select(*ends).mapInArrow(contracted, "hi long, lo long").distinct())
     state = _state(current)
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.struct(F.col("hi").alias("key"), s.alias("salt")))
+    below = F.array(F.struct(F.col("lo").alias("key"), F.pmod(F.xxhash64("hi"), SALTS).cast("int").alias("salt")))
     for _ in range(max_rounds):
         if not state[0]:
             break
-        # large star: larger neighbours move to the smallest neighbour
-        both = current.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionAll(
-            current.select(F.col("lo").alias("n"), F.col("hi").alias("m"))
-        )
-        least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.join(least, "n").where(F.col("m") > F.col("n")).select(F.col("m").alias("hi"), F.col("low").alias("lo"))
-        # small star: smaller neighbours and the node itself move to the smallest
-        down = large.groupBy("hi").agg(F.min("lo").alias("low"))
-        small = (
-            large.join(down, "hi")
-            .where(F.col("lo") != F.col("low"))
-            .select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
-            .unionAll(down.select("hi", F.col("low").alias("lo")))
-            .distinct()
-        )
-        current = saved(small)
+        dealt = current.select("hi", "lo", F.explode(F.concat(everywhere, below)).alias("at")).select("hi", "lo", "at.key", "at.salt")
+        current = saved(dealt.repartition("key", "salt").select("hi", "lo").mapInArrow(contracted, "hi long, lo long").distinct())
         was, state = state, _state(current)
         if was == state:
             break
