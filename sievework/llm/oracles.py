@@ -42,23 +42,20 @@ FROM o
 
 def _quality() -> str:
     """Measures, sketches of three levels, and fences as in quality.py."""
-    shares = {
-        "symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines"),
-        "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"),
-    }
-    values = " UNION ALL ".join(
-        f"SELECT lang, source, base_failed, '{k}' AS measure, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END AS value FROM m" for k, (a, b) in shares.items()
-    )
+    value = lambda k, t="": "(" + "({}{} + {})::DOUBLE / nullif({}{} + {}, 0)".format(t, q.RATIOS[k][0], q.RATIOS[k][2], t, q.RATIOS[k][1], q.RATIOS[k][2]) + ")"
+    values = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {value(k)} AS value FROM m WHERE NOT base_failed" for k in q.RATIOS)
     levels = " UNION ALL ".join(
         f"SELECT {n} AS level, {lang} AS lang, {source} AS source, measure, bin, n FROM b"
         for n, lang, source in ((0, "lang", "source"), (1, "lang", "NULL"), (2, "NULL", "NULL"))
     )
-    slack = "CASE c.measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.SLACK.items()) + " END"
+    at = lambda x: f"pow({q.GAMMA!r}, {x}) * {2 / (q.GAMMA + 1)!r}"
     inside = " AND ".join(
-        f"(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END) BETWEEN {f'{k}.median - {k}.reach' if k in q.TWO_SIDED else '-1'} AND {k}.median + {k}.reach"
-        for k, (a, b) in shares.items()
+        f"coalesce({value(k, 'm.')} BETWEEN {at(f'({k}.q2 - {k}.reach)') if k in q.TWO_SIDED else '0'} AND {at(f'({k}.q2 + {k}.reach)')}, true)" for k in q.RATIOS
+    )
+    joins = " ".join(f"LEFT JOIN z AS {k} ON {k}.measure = '{k}' AND {k}.lang IS NOT DISTINCT FROM m.lang AND {k}.source IS NOT DISTINCT FROM m.source" for k in q.RATIOS)
+    drawn = ", ".join(
+        f"(o.{x} * o.n + (t.{x} * t.n + e.{x} * {q.PRIOR}) / (t.n + {q.PRIOR}) * {q.PRIOR}) / (o.n + {q.PRIOR}) AS {x}" for x in ("q1", "q2")
     )
-    joins = " ".join(f"JOIN z AS {k} ON {k}.measure = '{k}' AND {k}.lang IS NOT DISTINCT FROM m.lang AND {k}.source IS NOT DISTINCT FROM m.source" for k in shares)
     return rf"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
@@ -77,21 +74,18 @@ WITH w AS (
 ), m AS (
   SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM m0
 ), v AS ({values}), b AS (
-  SELECT lang, source, measure, CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(q.GAMMA)!r})::BIGINT END AS bin,
-         sum(CASE WHEN base_failed THEN 0 ELSE 1 END)::BIGINT AS n FROM v GROUP BY 1, 2, 3, 4
+  SELECT lang, source, measure, ceil(ln(value) / {math.log(q.GAMMA)!r})::BIGINT AS bin, count(*) AS n FROM v GROUP BY 1, 2, 3, 4
 ), lv AS (SELECT level, lang, source, measure, bin, sum(n)::BIGINT AS n FROM ({levels}) GROUP BY 1, 2, 3, 4, 5
 ), cum AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total,
-         CASE WHEN bin IS NULL THEN 0 ELSE pow({q.GAMMA!r}, bin) * {2 / (q.GAMMA + 1)!r} END AS value FROM lv
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM lv
 ), qs AS (
-  SELECT level, lang, source, measure, max(total) AS n, min(CASE WHEN n > 0 AND upto >= ceil(total * 0.25) THEN value END) AS q1,
-         min(CASE WHEN n > 0 AND upto >= ceil(total * 0.5) THEN value END) AS q2 FROM cum GROUP BY 1, 2, 3, 4
+  SELECT level, lang, source, measure, max(total)::DOUBLE AS n, min(CASE WHEN upto >= ceil(total * 0.25) THEN bin END)::DOUBLE AS q1,
+         min(CASE WHEN upto >= ceil(total * 0.5) THEN bin END)::DOUBLE AS q2 FROM cum GROUP BY 1, 2, 3, 4
 ), c AS (
-  SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {q.LEAST_GROUP} THEN o.q1 WHEN t.n >= {q.LEAST_GROUP} THEN t.q1 ELSE e.q1 END AS q1,
-         CASE WHEN o.n >= {q.LEAST_GROUP} THEN o.q2 WHEN t.n >= {q.LEAST_GROUP} THEN t.q2 ELSE e.q2 END AS q2
+  SELECT o.lang, o.source, o.measure, {drawn}
   FROM qs o JOIN qs t ON o.level = 0 AND t.level = 1 AND t.measure = o.measure AND t.lang IS NOT DISTINCT FROM o.lang JOIN qs e ON e.level = 2 AND e.measure = o.measure
-), z AS (SELECT lang, source, measure, q2 AS median, greatest({q.REACH} * (q2 - q1), {slack}) AS reach FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, true) AS kept FROM m {joins}
+), z AS (SELECT lang, source, measure, q2, {q.REACH} * greatest(q2 - q1, 1) AS reach FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept, n_lines FROM m {joins}
 """
 
 

@@ -5,7 +5,7 @@ source. The fences come from relative-error quantile sketches: counts of
 logarithmic bins, which merge by addition, so that they are combined before
 the shuffle, no group is gathered, and a rerun gives the same thresholds.
 Sketches of sources merge into those of languages and of the whole corpus,
-which stand in for groups too small to tell.
+towards which the quantiles of a group are drawn, the more the smaller it is.
 """
 
 from __future__ import annotations
@@ -29,14 +29,13 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Relative error of the quantile sketches.
 ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: A group with fewer documents takes the fences of its language, then of all.
-LEAST_GROUP = 200
-#: Distance of the fences from the median, in widths of the quarter below it.
-#: The half above is not asked: up to half of a group may be junk.
+#: Documents' worth of its language that a group's quantiles are mixed with,
+#: and of the whole corpus that a language's are.
+PRIOR = 100
+#: Distance of the fences from the median, in widths of the quarter below it,
+#: all on the logarithmic scale. The half above is not asked: up to half of a
+#: group may be junk. A width is one bin at least, the sketch's own error.
 REACH = 6.0
-#: Measure: share that the fence stays above the median at least, so that a
-#: source whose documents are all alike does not reject every other one.
-SLACK = {"symbol_share": 0.05, "dup_line_share": 0.50, "repeat_share": 0.30, "word_length": 4.0}
 #: Measures that are also too low below a fence.
 TWO_SIDED = {"word_length"}
 
@@ -84,15 +83,15 @@ def measured(text: Column) -> Column:
     return measures.asNondeterministic()(text.cast("binary"))
 
 
+#: Measure: what is counted, per what, and what is added to both. One is added
+#: to counts that are mostly zero, so that a document without any has a value
+#: too: less, the longer it is.
+RATIOS = {"symbol_share": ("n_symbols", "word_chars", 1), "repeat_share": ("n_repeat_words", "n_words", 1), "word_length": ("word_chars", "n_words", 0)}
+
+
 def shares(m: str) -> dict[str, Column]:
-    """The measures that have fences, from the struct column m."""
-    per = lambda x, y: F.when(F.col(f"{m}.{y}") > 0, F.col(f"{m}.{x}") / F.col(f"{m}.{y}")).otherwise(0.0)
-    return {
-        "symbol_share": per("n_symbols", "word_chars"),
-        "dup_line_share": per("n_dup_lines", "n_lines"),
-        "repeat_share": per("n_repeat_words", "n_words"),
-        "word_length": per("word_chars", "n_words"),
-    }
+    """The measures that have fences, from the struct column m; null where nothing was counted."""
+    return {k: F.try_divide(F.col(f"{m}.{a}") + more, F.col(f"{m}.{b}") + more).cast("double") for k, (a, b, more) in RATIOS.items()}
 
 
 def base_failed(m: str) -> Column:
@@ -101,7 +100,8 @@ def base_failed(m: str) -> Column:
 
 
 def fences(measures: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) for every lang and source.
+    """(lang, source, <measure>_low, <measure>_high) for every lang and source
+    with a document that passes the base rules.
 
     measures: lang, source and a struct column m. Documents that fail the base
     rules count for no quantile; null lang and source are groups like any
@@ -113,46 +113,45 @@ def fences(measures: DataFrame) -> DataFrame:
     levels = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), nothing), (2, nothing, nothing)]
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, a, b in levels]))
     sketches = (
-        measures.select("lang", "source", base_failed("m").alias("failed"), *[v.alias(k) for k, v in values.items()])
-        .select("lang", "source", "failed", F.expr(f"stack({len(values)}, {pairs}) as (measure, value)"))
-        .withColumn("bin", F.when(F.col("value") > 0, F.ceil(F.log("value") / F.lit(math.log(GAMMA)))))
+        measures.where(~base_failed("m"))
+        .select("lang", "source", *[v.alias(k) for k, v in values.items()])
+        .select("lang", "source", F.expr(f"stack({len(values)}, {pairs}) as (measure, value)"))
+        .withColumn("bin", F.ceil(F.log("value") / F.lit(math.log(GAMMA))))
         .groupBy("lang", "source", "measure", "bin")
-        .agg(F.sum(F.when(F.col("failed"), 0).otherwise(1)).alias("n"))
+        .agg(F.count("*").alias("n"))
         # merged to languages and to the whole: at most some thousand bins a sketch
         .select(at.alias("at"), "measure", "bin", "n")
         .groupBy("at", "measure", "bin")
         .agg(F.sum("n").alias("n"))
     )
     sketch = Window.partitionBy("at", "measure")
-    value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin")) * (2 / (GAMMA + 1)))
-    reached = lambda share: F.min(
-        F.when((F.col("n") > 0) & (F.col("upto") >= F.ceil(F.col("total") * share)), F.struct("bin", value.alias("v")))
-    )["v"]
-    medians = (
-        sketches.withColumn("upto", F.sum("n").over(sketch.orderBy(F.col("bin").asc_nulls_first())))
+    reached = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * share), F.col("bin"))).cast("double")
+    quartiles = (
+        sketches.withColumn("upto", F.sum("n").over(sketch.orderBy("bin")))
         .withColumn("total", F.sum("n").over(sketch))
         .groupBy("at", "measure")
-        .agg(F.struct(F.max("total").alias("n"), reached(0.25).alias("q1"), reached(0.5).alias("q2")).alias("q"))
+        .agg(F.max("total").alias("n"), reached(0.25).alias("q1"), reached(0.5).alias("q2"))
     )
-    medians = saved(medians.select("at.*", "measure", "q"))  # three levels read it
-    of = lambda level, name: medians.where(F.col("level") == level).select(
-        F.col("lang").alias(f"{name}_lang"), F.col("measure").alias(f"{name}_measure"), F.col("q").alias(name)
+    quartiles = saved(quartiles.select("at.*", "measure", "n", "q1", "q2"))  # three levels read it
+    of = lambda level, name: quartiles.where(F.col("level") == level).select(
+        F.col("lang").alias(f"{name}_lang"), F.col("measure").alias(f"{name}_measure"), F.struct("n", "q1", "q2").alias(name)
     )
-    chosen = (
-        medians.where("level = 0")
+    drawn = lambda own, n, other: (own * n + other * PRIOR) / (n + F.lit(PRIOR))
+    joined = (
+        quartiles.where("level = 0")
         .join(of(1, "tongue"), F.col("lang").eqNullSafe(F.col("tongue_lang")) & (F.col("measure") == F.col("tongue_measure")))
         .join(of(2, "every"), F.col("measure") == F.col("every_measure"))
-        .withColumn(
-            "q", F.when(F.col("q.n") >= LEAST_GROUP, F.col("q")).when(F.col("tongue.n") >= LEAST_GROUP, F.col("tongue")).otherwise(F.col("every"))
-        )
     )
-    median, width = F.col("q.q2"), F.col("q.q2") - F.col("q.q1")
+    for q in ("q1", "q2"):
+        parent = drawn(F.col(f"tongue.{q}"), F.col("tongue.n"), F.col(f"every.{q}"))
+        joined = joined.withColumn(f"drawn_{q}", drawn(F.col(q), F.col("n"), parent))
+    reach = REACH * F.greatest(F.col("drawn_q2") - F.col("drawn_q1"), F.lit(1.0))
+    value = lambda at: F.pow(F.lit(GAMMA), at) * (2 / (GAMMA + 1))
     out = []
     for k in values:
-        reach = F.greatest(REACH * width, F.lit(SLACK[k]))
-        high, low = median + reach, median - reach if k in TWO_SIDED else F.lit(float("-inf"))
+        high, low = value(F.col("drawn_q2") + reach), value(F.col("drawn_q2") - reach) if k in TWO_SIDED else F.lit(0.0)
         out += [F.max(F.when(F.col("measure") == k, v)).alias(f"{k}_{side}") for side, v in (("low", low), ("high", high))]
-    return chosen.groupBy("lang", "source").agg(*out)
+    return joined.groupBy("lang", "source").agg(*out)
 
 
 def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
@@ -163,25 +162,31 @@ def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
     )
     inside = F.lit(True)
     for k, v in shares("m").items():
-        inside &= v.between(F.col(f"{k}_low"), F.col(f"{k}_high"))
+        inside &= F.coalesce(v.between(F.col(f"{k}_low"), F.col(f"{k}_high")), F.lit(True))
     failed = base_failed("m")
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(True)))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """doc_id, the measures, base_failed and kept, one row a document.
+    """doc_id, the measures, base_failed, kept and n_lines, one row a document.
 
-    A null text has no words and fails. Repeated rows each give a row. An
-    empty table gives an empty table. Columns besides doc_id, text, lang and
-    source are ignored.
+    A null text has no words and fails. A value that equals its fence is
+    inside. Repeated rows each give a row and each count. An empty table gives
+    an empty table. Columns besides doc_id, text, lang and source are ignored.
+    Texts are measured whole; the time is in proportion to their length.
     """
     small_batches(docs.sparkSession)
     measures = saved(docs.select("doc_id", "lang", "source", "text").select("doc_id", "lang", "source", measured(F.col("text")).alias("m")))
-    return judged(measures, fences(measures)).select("doc_id", "m.*", "base_failed", "kept")
+    own = [f"m.{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged(measures, fences(measures)).select("doc_id", *own, "base_failed", "kept", "m.n_lines")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without those that fail; columns and their order stay."""
+    """docs without those that fail; columns and their order stay.
+
+    Null, empty and wordless texts fail; an empty table stays empty. Other
+    columns may have any name.
+    """
     small_batches(docs.sparkSession)
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
