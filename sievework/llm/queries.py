@@ -61,10 +61,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
-    )
-    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 QUERIES = {
