@@ -11,10 +11,17 @@ import math
 from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
+
 #: Characters stand for their class, which keeps the alphabet small.
 CLASSES = (("h", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("U", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("d", "0123456789"))
 CLASS_OF = {c: name for name, chars in CLASSES for c in chars}
 CLASS_SIZE = {name: len(chars) for name, chars in CLASSES}
+#: The characters of tokens as numbers from 1; 0 is what stands before them, or any other.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
+ALPHABET = len(LETTERS) + 1
+CODES = np.zeros(256, np.int64)
+CODES[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(1, ALPHABET)
 #: Probability of a step or an ending that was never seen.
 FLOOR = 1e-3
 
@@ -81,6 +88,10 @@ def fold(a: Node, b: Node) -> None:
                 a.to[c] = y
 
 
+def codes_of(text: str) -> np.ndarray:
+    return CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+
+
 @dataclass
 class Automaton:
     """States by number: ending and symbol probabilities, and the next state."""
@@ -100,6 +111,44 @@ class Automaton:
             state = nxt
         return total + math.log(max(self.end[state], self.floor))
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability and next state by state and character, and of endings."""
+        cost, to = np.zeros((len(self.step), ALPHABET)), np.zeros((len(self.step), ALPHABET), np.int64)
+        for state, steps in enumerate(self.step):
+            for code in range(ALPHABET):
+                c = LETTERS[code - 1] if code else "?"
+                name = CLASS_OF.get(c, c)
+                p, to[state, code] = steps.get(name, (self.floor, 0))
+                cost[state, code] = math.log(p / CLASS_SIZE.get(name, 1))
+        return cost.ravel(), to.ravel(), np.log(np.maximum(self.end, self.floor))
+
+    def log_likelihoods(self, codes: np.ndarray, sizes: np.ndarray, together: int) -> np.ndarray:
+        """log_likelihood of many strings, whose characters stand one after the
+        other: those of `together` characters or fewer a character at a time."""
+        cost, to, end = self.tables()
+        starts, out = np.cumsum(sizes) - sizes, np.zeros(len(sizes))
+        order = np.argsort(-sizes, kind="stable")
+        long = order[sizes[order] > together]
+        order = order[len(long) :]
+        state, n = np.zeros(len(order), np.int64), len(order)
+        ascending = -sizes[order]
+        total = np.zeros(len(order))
+        for i in range(int(sizes[order[0]]) if n else 0):
+            n = int(np.searchsorted(ascending, -i, "left"))  # longer than i
+            at = state[:n] * ALPHABET + codes[starts[order[:n]] + i]
+            total[:n] += cost[at]
+            state[:n] = to[at]
+        out[order] = total + end[state]
+        costs, nexts = (cost.tolist(), to.tolist()) if len(long) else ([], [])
+        for k in long.tolist():
+            own, s = 0.0, 0
+            for code in codes[starts[k] : starts[k] + sizes[k]].tolist():
+                at = s * ALPHABET + code
+                own += costs[at]
+                s = nexts[at]
+            out[k] = own + end[s]
+        return out
+
 
 def infer(strings: list[str], alpha: float = 0.05) -> Automaton:
     """The automaton learned from the strings; with none, one state without steps."""

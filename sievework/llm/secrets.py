@@ -1,20 +1,25 @@
 """Secret scans: base patterns, and a learned format grammar over all other
-long tokens."""
+tokens.
+
+Two scans of the texts: the first gathers labelled credentials and the
+character pairs of all other tokens, the second finds the spans and scores
+every token that no base span touches.
+"""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
-from .grammar import Automaton, infer
+from .common import saved, slices, small_batches
+from .grammar import ALPHABET, Automaton, codes_of, infer
 
 KINDS = ("assign", "access", "hex", "grammar")
 ASSIGN = re.compile(
@@ -22,26 +27,31 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters or more
-#: What the grammar judges: every token so long that no base span touches.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled strings the automata learn from, at most so many a class, the
-#: smallest hashes of the distinct values of the whole corpus.
-SAMPLE = 1000
-#: A candidate is a secret if its mean log-likelihood ratio a character reaches this.
-LEAST_RATIO = 0.25
+#: What the grammar judges: every token of at least as many characters as a base value has.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: Labelled strings the automata learn from, at most so many a format, the
+#: smallest hashes of the distinct values of the whole corpus that are no longer than this.
+SAMPLE, LONGEST = 1000, 256
+#: One labelled string in so many is held out. A token must reach this part of
+#: the mean log-likelihood ratio a character that all but a share of them reach:
+#: credentials without a keyword stand among the ordinary tokens they are held against.
+HELD_OUT, MISSED, PART = 5, 0.05, 0.5
+#: And its ratio in all must make it this unlikely to be an ordinary token.
+FALSE_ALARM = 1e-6
+#: Tokens up to this length are scored together, a character at a time.
+TOGETHER = 512
 
 SPAN = "array<struct<kind:int,start:int,stop:int>>"
-FOUND = f"base {SPAN}, labelled array<string>, candidates array<struct<start:int,stop:int,token:string>>"
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str]]:
     """(start, kind, end) of the base matches, by start, and the credentials in them."""
     out, values = [], []
-    for m in ASSIGN.finditer(text):
+    for m in ASSIGN.finditer(text) if ":" in text or "=" in text else ():
         if m.end(1) - m.start(1) >= 6:
             out.append((m.start(), 0, m.end()))
             values.append(m[1])
-    for m in ACCESS.finditer(text):
+    for m in ACCESS.finditer(text) if "AKIA" in text else ():
         if m.end() - m.start() >= 20:
             out.append((m.start(), 1, m.end()))
             values.append(m[0])
@@ -51,72 +61,92 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[str]]:
     return sorted(out), values
 
 
-def scan(text: str | None) -> tuple[list, list, list]:
-    text = text or ""
-    base, values = base_spans(text)
-    candidates = [
-        (m.start(), m.end(), m[0])
-        for m in CANDIDATE.finditer(text)
-        if not any(start < m.end() and m.start() < end for start, _, end in base)
-    ]
-    return [(k, s, e) for s, k, e in base], values, candidates
-
-
-def scanned(text: Column) -> Column:
-    @F.pandas_udf(FOUND)
-    def scans(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ("base", "labelled", "candidates")
-        for part in parts:
-            rows = [scan(x) for x in part]
-            keys = (("kind", "start", "stop"), None, ("start", "stop", "token"))
-            yield pd.DataFrame({
-                n: pd.Series([[dict(zip(k, x, strict=True)) for x in r[i]] if k else r[i] for r in rows], dtype=object)
-                for i, (n, k) in enumerate(zip(names, keys, strict=True))
-            })
-
-    return scans(text)
-
-
-#: Characters that a character's own followers must outweigh: a rare one tells
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the tokens that no base span touches; both lists are by
+    start, so that they are gone through once."""
+    out, k, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while k < len(base) and base[k][0] < end:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= start:
+            out.append((start, end))
+    return out
+
+
+def tokens_of(texts: list[str | None]) -> tuple[list, list, list, np.ndarray, np.ndarray]:
+    """Of some texts: base spans, credentials and candidates of each, and the
+    candidates' characters, one after the other, with their lengths."""
+    spans, values, found, pieces = [], [], [], []
+    for text in texts:
+        text = text or ""
+        base, own = base_spans(text)
+        places = candidates(text, base)
+        spans.append(base)
+        values.append(own)
+        found.append(places)
+        pieces += [text[i:j] for i, j in places]
+    return spans, values, found, codes_of("".join(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces))
+
+
+def pairs_of(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each character with the one before it, in one number; a token's first comes after a blank."""
+    before = np.r_[0, codes[:-1]] if len(codes) else codes
+    before[np.cumsum(sizes) - sizes] = 0
+    return before * ALPHABET + codes
+
+
+def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, pair, n) of (text): the credentials in base spans, and how often each
+    pair of characters is in the other tokens."""
+    for batch in slices(batches, "bytes"):
+        _, values, _, codes, sizes = tokens_of(batch.column("text").to_pylist())
+        n = np.bincount(pairs_of(codes, sizes), minlength=ALPHABET * ALPHABET)
+        pair = np.flatnonzero(n)
+        flat = list({v for own in values for v in own if len(v) <= LONGEST})
+        columns = [
+            pa.array(flat + [None] * len(pair), pa.string()), pa.array([None] * len(flat) + pair.tolist(), pa.int32()),
+            pa.array([0] * len(flat) + n[pair].tolist(), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["v", "pair", "n"])
+
+
+#: Occurrences that a character's own followers must outweigh: a rare one tells
 #: little about what follows it.
 PRIOR = 200
 
 
-@dataclass
-class Background:
-    """Characters of ordinary tokens, each given the one before as far as that was seen often."""
-
-    pairs: Counter
-    singles: Counter
-    total: int
-
-    def log_likelihood(self, s: str) -> float:
-        out = 0.0
-        for a, b in zip(f" {s}", s, strict=False):
-            alone = (self.singles[b] + 0.5) / (self.total + 34)
-            out += math.log((self.pairs[a + b] + PRIOR * alone) / (self.singles[a] + PRIOR))
-        return out
-
-
-def background(tokens: list[str]) -> Background:
-    pairs = Counter(a + b for t in tokens for a, b in zip(f" {t}", t, strict=False))
-    singles = Counter("".join(tokens)) + Counter({" ": len(tokens)})
-    return Background(pairs, singles, sum(singles.values()) - singles[" "])
+def background(counts: np.ndarray) -> np.ndarray:
+    """log p(character | the one before) from the pair counts, drawn to the
+    characters' own shares as far as the one before was seen little."""
+    table = counts.reshape(ALPHABET, ALPHABET).astype(float)
+    alone = (table.sum(0) + 0.5) / (table.sum() + 0.5 * ALPHABET)
+    return np.log((table + PRIOR * alone) / (table.sum(1, keepdims=True) + PRIOR)).ravel()
 
 
 @dataclass
 class FormatModel:
-    """Automata of credential formats, one for each base kind, against ordinary tokens."""
-
-    formats: list[Automaton]
-    ordinary: Background
+    """Automata of credential formats and the mean ratio each asks for, against ordinary tokens."""
+
+    formats: list[tuple[Automaton, float]]
+    ordinary: np.ndarray
+
+    def best(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each token is a secret in any of the formats."""
+        out = np.zeros(len(sizes), bool)
+        if not len(sizes):
+            return out
+        usual = np.add.reduceat(self.ordinary[pairs_of(codes, sizes)], np.cumsum(sizes) - sizes)
+        for automaton, least in self.formats:
+            ratio = automaton.log_likelihoods(codes, sizes, TOGETHER) - usual
+            out |= (ratio / sizes >= least) & (ratio >= -np.log(FALSE_ALARM))
+        return out
 
-    def ratio(self, token: str) -> float:
-        """Mean log-likelihood ratio a character; the best format counts."""
-        if not self.formats:
-            return float("-inf")
-        best = max(f.log_likelihood(token) for f in self.formats)
-        return (best - self.ordinary.log_likelihood(token)) / len(token)
+    def ratios(self, strings: list[str], automaton: Automaton) -> np.ndarray:
+        codes, sizes = codes_of("".join(strings)), np.array([len(x) for x in strings])
+        usual = np.add.reduceat(self.ordinary[pairs_of(codes, sizes)], np.cumsum(sizes) - sizes)
+        return (automaton.log_likelihoods(codes, sizes, TOGETHER) - usual) / sizes
 
 
 def smallest(values: DataFrame, n: int) -> list[str]:
@@ -125,29 +155,50 @@ def smallest(values: DataFrame, n: int) -> list[str]:
     return [r.v for r in values.distinct().orderBy(F.xxhash64("v"), "v").limit(n).collect()]
 
 
-def fit(found: DataFrame, sample: int = SAMPLE) -> FormatModel:
-    """The model learned from the labelled credentials of found, against its other
-    long tokens, which are mostly words and numbers."""
-    labelled = found.select(F.explode("labelled").alias("v"))
+def fit(docs: DataFrame, sample: int = SAMPLE) -> FormatModel:
+    """The model learned from the labelled credentials of docs, a bounded
+    sample, against the character pairs of all its other tokens."""
+    texts = docs.select("text", F.col("text").cast("binary").alias("bytes"))
+    found = saved(texts.mapInArrow(learned, "v string, pair int, n long"))
+    counts = np.zeros(ALPHABET * ALPHABET, np.int64)
+    for r in found.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # ALPHABET squared at most
+        counts[r.pair] = r.n
+    labelled = found.where("v is not null").select("v")
     kinds = (F.col("v").rlike("^[0-9a-f]+$"), F.col("v").startswith("AKIA"))
     groups = (kinds[0], ~kinds[0] & kinds[1], ~kinds[0] & ~kinds[1])
-    strings = [smallest(labelled.where(g), sample) for g in groups]
-    others = smallest(found.select(F.explode("candidates.token").alias("v")), sample)
-    return FormatModel([infer([s[:128] for s in g]) for g in strings if g], background([s[:128] for s in others]))
+    model = FormatModel([], background(counts))
+    for group in groups:
+        strings = smallest(labelled.where(group), sample)
+        if strings:
+            taught = [s for i, s in enumerate(strings) if i % HELD_OUT]
+            automaton = infer(taught or strings)
+            reached = np.quantile(model.ratios(strings[::HELD_OUT], automaton), MISSED, method="lower")
+            model.formats.append((automaton, PART * float(reached)))
+    return model
 
 
-def scored(candidates: Column, model: FormatModel, least: float = LEAST_RATIO) -> Column:
-    """The candidates whose ratio reaches the least, as spans of kind grammar."""
+def scanned(text: Column, model: FormatModel) -> Column:
+    """Struct of base and added spans of a text."""
 
-    @F.pandas_udf(SPAN)
-    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"base {SPAN}, added {SPAN}")
+    def scans(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        span = lambda k, s, e: {"kind": k, "start": s, "stop": e}
         for part in parts:
-            yield pd.Series([
-                [{"kind": 3, "start": c["start"], "stop": c["stop"]} for c in row if model.ratio(c["token"]) >= least]
-                for row in part
-            ], dtype=object)
-
-    return scores(candidates)
+            base, added = [], []
+            texts, first = part.tolist(), 0
+            while first < len(texts):
+                last, size = first, 0
+                while last < len(texts) and (last == first or size < 1 << 20):
+                    size += len(texts[last] or "")
+                    last += 1
+                spans, _, found, codes, sizes = tokens_of(texts[first:last])
+                secret = iter(model.best(codes, sizes).tolist())
+                base += [[span(k, s, e) for s, k, e in own] for own in spans]
+                added += [[span(3, s, e) for s, e in own if next(secret)] for own in found]
+                first = last
+            yield pd.DataFrame({"base": pd.Series(base, dtype=object), "added": pd.Series(added, dtype=object)})
+
+    return scans.asNondeterministic()(text)  # not computed once for each field
 
 
 def listed(spans: Column) -> Column:
@@ -163,12 +214,12 @@ def secret_spans(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Null texts are empty and have no spans. Repeated rows each give a row;
     other columns are ignored. An empty table, or one without labelled
-    credentials, adds no span.
+    credentials, adds no span. Texts and tokens are judged whole, in time in
+    proportion to their length. Spans that start together stand as KINDS are listed.
     """
     small_batches(docs.sparkSession)
-    found = saved(docs.select("doc_id", scanned(F.col("text")).alias("f")).select("doc_id", "f.*"))
-    model = fit(found, sample)
-    return found.select("doc_id", "base", scored(F.col("candidates"), model).alias("added"))
+    model = fit(docs, sample)
+    return docs.select("doc_id", scanned(F.col("text"), model).alias("f")).select("doc_id", "f.*")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
