@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +63,14 @@ def to_postfix(expression: str) -> list[str]:
     """The tokens in postfix order (shunting-yard); ValueError if malformed.
 
     A word where an operator should stand ends the expression: a tag's line
-    may go on in prose.
+    may go on in prose. So operators are upper-case only, and one before
+    a lower-case word that is no licence ends it too.
     """
     out: list[str] = []
     held: list[str] = []
     operand = True  # what must come next
-    for token in _TOKEN.findall(expression):
-        word = token.upper()
+    tokens = _TOKEN.findall(expression)
+    for token, after in zip(tokens, [*tokens[1:], ""], strict=True):
         if token == "(":
             if not operand:
                 break
@@ -79,12 +81,14 @@ def to_postfix(expression: str) -> list[str]:
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
-        elif word in PRIORITY:
+        elif token in PRIORITY:
             if operand:
                 raise ValueError(f"operator without operand: {expression!r}")
-            while held and held[-1] != "(" and PRIORITY[held[-1]] >= PRIORITY[word]:
+            if after.islower() and label_of(after) is None:
+                break  # prose
+            while held and held[-1] != "(" and PRIORITY[held[-1]] >= PRIORITY[token]:
                 out.append(held.pop())
-            held.append(word)
+            held.append(token)
             operand = True
         else:
             if not operand:
@@ -132,15 +136,19 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple:
     text = text or b""
     words = text.translate(ALNUM).split()
     line = f" {b' '.join(words).decode(errors='replace')} "
-    starts, base, more, score, tagged = [], set(), set(), None, False
+    places, base, more, score, tagged = [], set(), set(), None, False
     for end, (is_base, label, size) in automaton.iter(line):
         if is_base:
-            starts.append(line.count(" ", 0, end - size + 2) - 1)
+            places.append(end - size + 1)  # of the blank before the first word
             base.add(label)
         elif label:
             more.add(label)
         else:
             tagged = True
+    starts = []
+    if places:
+        blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        starts = np.searchsorted(blanks, places).tolist()
     freedoms = [FREEDOM[x] for x in base | more]
     if tagged:
         for expression in _TAGGED.findall(text.decode(errors="replace")):
@@ -174,7 +182,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Null texts are empty: no words, no places, empty labels, score zero.
     Repeated rows each give a row; other columns are ignored; an empty table
-    gives an empty table. A malformed expression adds nothing.
+    gives an empty table. A malformed expression adds nothing. Texts are
+    scanned whole, in time in proportion to their length.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", scanned(F.col("text")).alias("s")).select("doc_id", "s.*")

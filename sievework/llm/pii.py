@@ -7,10 +7,13 @@ and different values different ones. Column functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "sievework-key-1"
+#: The session setting that holds the secret key.
+KEY_SETTING = "spark.sievework.pii.key"
 ROUNDS = 8
 
 #: Kinds in the order they are tried at a place.
@@ -32,13 +35,26 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, LAST_DAY, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", "2199-12-31", 189, 773
 
 
+#: Country calling codes of one and two digits, fixed values; all others have three.
+ONE_DIGIT, TWO_DIGITS = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+#: Social security numbers: areas 001 to 899 without 666, and groups and
+#: serials of which none is all zeros.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's KEY_SETTING; where that is unset a fresh one, with
+    which values are linked within this run only."""
+    return spark.conf.get(KEY_SETTING, None) or token_hex(16)
+
+
 def _prf(key: str, kind: str, number: Column, value: Column) -> Column:
     """A keyed pseudo-random integer of 60 bits."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), value.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: str, left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+def feistel(key: str, kind: str, left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column | None = None) -> Column:
     """Struct (a, b): a permutation of the pairs below (left_size, right_size).
 
     Rounds add a keyed function of one half to the other, modulo its size;
@@ -48,10 +64,10 @@ def feistel(key: str, kind: str, left: Column, right: Column, left_size: Column,
 
     def step(pair: Column, number: Column) -> Column:
         a, b = pair["a"], pair["b"]
-        tweak = F.concat_ws("x", number.cast("string"), left_size.cast("string"), right_size.cast("string"))
+        own = F.concat_ws("x", number.cast("string"), left_size.cast("string"), right_size.cast("string"), *([] if tweak is None else [tweak]))
         even = number % 2 == 0
-        new_a = F.when(even, F.pmod(a + _prf(key, kind, tweak, b), left_size)).otherwise(a)
-        new_b = F.when(even, b).otherwise(F.pmod(b + _prf(key, kind, tweak, a), right_size))
+        new_a = F.when(even, F.pmod(a + _prf(key, kind, own, b), left_size)).otherwise(a)
+        new_b = F.when(even, b).otherwise(F.pmod(b + _prf(key, kind, own, a), right_size))
         return F.struct(new_a.cast("long").alias("a"), new_b.cast("long").alias("b"))
 
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step)
@@ -61,8 +77,8 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def permuted_digits(key: str, kind: str, digits: Column) -> Column:
-    """A digit string of up to 30 digits permuted among those of its length."""
+def permuted_digits(key: str, kind: str, digits: Column, tweak: Column | None = None) -> Column:
+    """A digit string of up to 30 digits permuted among those of its length, for each tweak in a way of its own."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
     v = n - u
@@ -71,7 +87,7 @@ def permuted_digits(key: str, kind: str, digits: Column) -> Column:
     # one-element array: the halves and the permutation are computed once
     made = F.transform(
         F.array(halves),
-        lambda h: feistel(key, kind, F.when(h[0] == "", 0).otherwise(h[0].cast("long")), h[1].cast("long"), size(u), size(v)),
+        lambda h: feistel(key, kind, F.when(h[0] == "", 0).otherwise(h[0].cast("long")), h[1].cast("long"), size(u), size(v), tweak),
     )[0]
     return F.transform(
         F.array(made),
@@ -148,10 +164,24 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     # cards: the last digit is the check digit of the others
     front = permuted_digits(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
     card = F.transform(F.array(front), lambda f: F.concat(f, F.pmod(-luhn_sum(F.concat(f, F.lit("0"))), F.lit(10)).cast("string")))[0]
-    # phones: the country code stays
-    code = F.length(_digits(F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)))
-    own = F.substring(digits, code + 1, F.length(digits))
-    phone = F.concat(F.substring(digits, F.lit(1), code), permuted_digits(key, "phone", own))
+    # phones: the country code stays, however the number is spelt; ten digits without one are of country 1
+    coded = value.startswith("+")
+    n = F.when(digits.rlike(f"^{ONE_DIGIT}"), 1).when(digits.rlike(f"^(?:{TWO_DIGITS})"), 2).otherwise(3)
+    n = F.when(coded, n).otherwise(0)
+    code = F.when(coded, F.substring(digits, F.lit(1), n)).otherwise("1")
+    own = permuted_digits(key, "phone", F.substring(digits, n + 1, F.length(digits)), code)
+    phone = F.concat(F.substring(digits, F.lit(1), n), own)
+    # social security numbers: valid ones are numbered, area by area
+    area = F.substring(digits, 1, 3).cast("long")
+    area = area - F.when(area > 666, 2).otherwise(1)
+    rest = (F.substring(digits, 4, 2).cast("long") - 1) * SERIALS + F.substring(digits, 6, 4).cast("long") - 1
+    ssn = F.transform(
+        F.array(feistel(key, "ssn", area, rest, F.lit(AREAS), F.lit(GROUPS * SERIALS))),
+        lambda p: F.concat(
+            F.lpad((p["a"] + F.when(p["a"] >= 665, 2).otherwise(1)).cast("string"), 3, "0"),
+            F.lpad((F.floor(p["b"] / SERIALS) + 1).cast("string"), 2, "0"), F.lpad((p["b"] % SERIALS + 1).cast("string"), 4, "0"),
+        ),
+    )[0]
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     ip = F.transform(
         F.array(feistel(key, "ip", octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536))),
@@ -171,7 +201,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         .when(kind == "date", date)
         .when(kind == "ip", ip)
         .when(kind == "phone", refill(value, phone))
-        .when(kind == "ssn", refill(value, permuted_digits(key, "ssn", digits)))
+        .when(kind == "ssn", refill(value, ssn))
         .when(kind == "card", refill(value, card))
         .otherwise(value)
     )
@@ -197,9 +227,9 @@ def found_in(match: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(kind.alias("kind"), card.alias("card"))), cut), F.lit(0))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with its personal values replaced, and n_<kind> for each
-    kind, one row a document.
+    kind, one row a document. key: the secret; without one session_key().
 
     Cards must pass the Luhn check and keep passing it, octets are 255 at
     most, dates exist and lie in 1800-2199; numbers that fail stay as they
@@ -207,8 +237,10 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     is taken. Digits move within a value's own layout. Letters cannot be permuted
     among numbers: the local part of an address becomes a keyed digest. A null
     text stays null with zero counts. Repeated rows each give a row; other
-    columns are ignored; an empty table gives an empty table.
+    columns are ignored; an empty table gives an empty table. A text is taken
+    whole, in time in proportion to its length.
     """
+    key = key or session_key(docs.sparkSession)
     text = F.col("text")
     matches = F.when(text.rlike(NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     found = docs.select("doc_id", "text", F.transform(matches, found_in).alias("found"))

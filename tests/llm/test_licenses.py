@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -41,6 +42,9 @@ def test_expressions():
     assert licenses.evaluate("MIT AND GPL-3.0-only") == ({"mit", "gpl"}, 0.3)
     assert licenses.evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == ({"gpl"}, 0.6)
     assert licenses.evaluate("MIT is what we chose") == ({"mit"}, 1.0)
+    assert licenses.evaluate("MIT and other terms apply") == ({"mit"}, 1.0)
+    assert licenses.evaluate("MIT WITH the following conditions") == ({"mit"}, 1.0)
+    assert licenses.evaluate("GPL-3.0-only OR mit") == ({"gpl", "mit"}, 1.0)
     for bad in ("", "AND MIT", "(MIT", "MIT OR"):
         with pytest.raises(ValueError):
             licenses.evaluate(bad)
@@ -53,6 +57,13 @@ def test_tags_add_labels():
     assert licenses.scan(b"SPDX-License-Identifier: OR", automaton)[4:] == ("", "", 0.0)
 
 
+def test_long_texts_take_time_in_proportion():
+    automaton, began = licenses.phrase_automaton(), time.time()
+    n = 1_700_000  # 10 MB
+    assert licenses.scan(b"cc by " * n, automaton)[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert time.time() - began < 30
+
+
 def test_edge_cases(spark):
     got = licenses.license_scan(edge_frame(spark)).collect()
     assert len(got) == len(edge_rows()) and all(r.n_base == 0 and r.first_word is None for r in got)
