@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Redactions of log text in their order, fixed values: pattern, replacement.
+#: Redactions of log text in their order: pattern, replacement. What is
+#: redacted is fixed; the patterns are written so that a long word is gone
+#: through once: a run starts where no run goes before, and is not given back.
 LOG_RULES = (
     (r"(?i)(Bearer\s+)\S+", "$1[REDACTED]"),
-    (r"(?i)([a-z][a-z0-9+.\-]*://)[^/\s@]+@", "$1[dsn redacted]@"),
+    (r"(?i)(?<![a-z0-9+.\-])([0-9+.\-]*+[a-z][a-z0-9+.\-]*+://)[^/\s@]++@", "$1[dsn redacted]@"),
     (r"ss_[A-Za-z0-9_\-]{10,}", "ss_[REDACTED]"),
-    (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[email redacted]"),
+    (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "[email redacted]"),
     (r"(?i)\b(key|token|api[_-]?key)=[^&\s\"']+", "$1=[REDACTED]"),
 )
 #: Instructions hidden in scraped text, fixed values.

@@ -117,12 +117,27 @@ def next_delay(current: Column, latency: Column, ok: Column, retry_after_s: Colu
 
 
 def throttled(steps: DataFrame, key: str, floor: float = 100.0, concurrency: int = 2, most: float = 60_000.0) -> DataFrame:
-    """The delay of each key after its observations, in their order: a fold,
-    since doubling depends on the delay before."""
-    row = F.struct("created_at", "observation_id", "latency_ms", "success", "retry_after_s")
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(row)),
-        F.lit(0.0),
-        lambda d, x: next_delay(d, x["latency_ms"], x["success"], x["retry_after_s"], floor, concurrency, most),
-    )
-    return steps.groupBy(key).agg(F.count("*").alias("n"), fold.alias("delay_ms"))
+    """The delay of each key after its observations, in their order.
+
+    A step takes the delay d to min(most, max(c, d)), or where a failure
+    doubles it to min(most, max(c, 2 d)): with m the larger of what latency,
+    floor and a Retry-After ask for, damping never exceeds max(m, d). So the
+    steps from one observation on multiply by two as often as fetches failed
+    without a Retry-After, and the delay at the end is the largest of what each
+    observation asks for, doubled by the failures after it, and cut at `most`.
+    That is a count of later failures and a maximum: no key is gathered.
+    Observations are ordered within hours, whose failures are counted first,
+    so that a key's history is spread over as many places as it has hours.
+    """
+    target = F.greatest(F.col("latency_ms") / concurrency if concurrency > 0 else F.col("latency_ms"), F.lit(floor))
+    asked = F.greatest(target, F.when(~F.col("success"), F.col("retry_after_s") * 1000).otherwise(0.0))
+    doubles = (~F.col("success") & F.col("retry_after_s").isNull()).cast("int")
+    rows = steps.select(key, "created_at", "observation_id", F.date_trunc("hour", "created_at").alias("hour"), asked.alias("asked"), doubles.alias("doubles"))
+    hours = rows.groupBy(key, "hour").agg(F.sum("doubles").alias("doubled"))
+    later_hours = Window.partitionBy(key).orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("after", F.coalesce(F.sum("doubled").over(later_hours), F.lit(0))).drop("doubled")
+    later = Window.partitionBy(key, "hour").orderBy(F.col("created_at").desc(), F.col("observation_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("own", F.coalesce(F.sum("doubles").over(later), F.lit(0)))
+    power = F.pow(F.lit(2.0), F.least(F.col("own") + F.col("after"), F.lit(60)))
+    delays = own.join(hours, [key, "hour"]).withColumn("delay", F.least(F.col("asked") * power, F.lit(most)))
+    return delays.groupBy(key).agg(F.count("*").alias("n"), F.max("delay").alias("delay_ms"))

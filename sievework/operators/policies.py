@@ -49,14 +49,19 @@ def discovered(hits: DataFrame, canonical: Column, denied: Column, blocked: Colu
 
     The first failing rule counts: a repeat of a better-ranked URL, policy, a
     forbidden address, a fresh cache entry, then the plan's budget by rank.
+    Ranks are unique within a plan and not negative.
     """
-    best = F.row_number().over(Window.partitionBy("plan_id", "canonical").orderBy("rank"))
-    marked = hits.withColumn("canonical", canonical).withColumn("repeat", best > 1)
-    reason = F.when(F.col("repeat"), "duplicate").when(denied, "policy_denied").when(blocked, "ssrf_blocked").when(fresh, "cache_fresh")
+    marked = hits.withColumn("canonical", canonical)
+    best = marked.groupBy("plan_id", "canonical").agg(F.min("rank").alias("best"))
+    marked = marked.join(best, ["plan_id", "canonical"])
+    reason = F.when(F.col("rank") > F.col("best"), "duplicate").when(denied, "policy_denied").when(blocked, "ssrf_blocked").when(fresh, "cache_fresh")
     marked = marked.withColumn("reason", reason)
-    granted = F.row_number().over(Window.partitionBy("plan_id", F.col("reason").isNull()).orderBy("rank"))
-    over = F.when(F.col("reason").isNull() & (F.col("granted") > budget), "fanout_budget_exceeded")
-    return marked.withColumn("granted", granted).withColumn("reason", F.coalesce("reason", over)).drop("repeat", "granted")
+    # the rank of the last hit that the budget grants: Spark keeps `budget` rows a plan in each task
+    place = F.row_number().over(Window.partitionBy("plan_id").orderBy("rank"))
+    granted = marked.where("reason is null").select("plan_id", "rank").withColumn("place", place).where(F.col("place") <= budget)
+    last = granted.groupBy("plan_id").agg(F.max("rank").alias("last"))
+    over = F.when(F.col("rank") > F.coalesce("last", F.lit(-1)), "fanout_budget_exceeded")
+    return marked.join(last, "plan_id", "left").withColumn("reason", F.coalesce("reason", over)).drop("best", "last")
 
 
 def unseen(found: DataFrame, seen: DataFrame) -> DataFrame:

@@ -161,11 +161,13 @@ def throttle_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {OBSERVATIONS_SQL}, t AS (
+  SELECT domain, greatest(latency_ms / 2, 100.0, CASE WHEN NOT success AND observation_id % 10 = 0 THEN 5000.0 ELSE 0.0 END) AS asked,
+         sum(CASE WHEN NOT success AND observation_id % 10 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY domain ORDER BY created_at DESC, observation_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS later FROM obs)
+SELECT domain, count(*) AS n, round(max(least(asked * pow(2.0, least(coalesce(later, 0), 60)), 60000.0)), 6) AS delay_ms FROM t GROUP BY 1""")
 def throttle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The throttle with its doubling, step by step, over each job's fetches of a domain."""
-    table = ev.newest(observations(spark, sf_dir), "domain", "created_at", "observation_id")  # bounds the fold
-    table = table.withColumn("retry_after_s", F.when(F.col("observation_id") % 10 == 0, 5.0))
+    """The throttle with its doubling, over all fetches of a domain."""
+    table = observations(spark, sf_dir).withColumn("retry_after_s", F.when(F.col("observation_id") % 10 == 0, 5.0))
     return _rounded(ev.throttled(table, "domain"), "delay_ms")
 
 

@@ -1,5 +1,7 @@
 import json
-from datetime import datetime
+import random
+import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +168,26 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 6
     events = spark.createDataFrame([("job.failed",), ("discovery.new",), ("other",)], "event_type string")
     assert [r.stream for r in streams.routed(events).collect()] == ["jobs_stream", "discovery_stream", "jobs_stream"]
+
+
+def test_throttle_equals_the_fold_step_by_step(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for k in "abc":
+        delay, n = 0.0, rng.randint(5, 60)
+        for i in range(n):
+            latency, ok, retry = rng.uniform(10, 900), rng.random() < 0.8, rng.choice([None, None, 2.0])
+            rows.append((k, datetime(2024, 1, 1) + timedelta(minutes=17 * i), i, latency, ok, retry))
+            penalty = 0.0 if ok else retry * 1000 if retry is not None else 2 * delay
+            delay = min(60_000.0, max((delay + latency / 2) / 2, latency / 2, penalty, delay, 100.0))
+        want[k] = (n, delay)
+    steps = spark.createDataFrame(rows, "k string, created_at timestamp, observation_id long, latency_ms double, success boolean, retry_after_s double")
+    got = {r.k: (r.n, r.delay_ms) for r in evaluation.throttled(steps, "k").collect()}
+    assert all(got[k][0] == n and abs(got[k][1] - d) < 1e-6 for k, (n, d) in want.items())
+
+
+def test_long_words_are_redacted_in_linear_time(spark):
+    began = time.time()
+    long = "x" * 400_000 + " " + "a.b-" * 100_000 + " 1http://me:pw@h.org " + "y@" * 1000
+    got = one(spark, text.redacted_log(F.col("t")), "t string", (long,))
+    assert "1http://[dsn redacted]" in got and "pw@" not in got and time.time() - began < 60
