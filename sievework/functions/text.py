@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +71,45 @@ def without_personal(data: Column) -> Column:
     return F.transform_values(data, lambda k, v: F.when(k.rlike(personal) & v.isNotNull(), "[REDACTED]").otherwise(v))
 
 
+def _nested(data: Column, change) -> Column:
+    """JSON text with a function of (key, value) applied to every value at any depth."""
+
+    def walk(value, key=None):
+        if isinstance(value, dict):
+            return {k: walk(v, k) for k, v in value.items()}
+        if isinstance(value, list):
+            return [walk(v, key) for v in value]
+        return change(key, value)
+
+    @F.pandas_udf("string")
+    def changed(part: pd.Series) -> pd.Series:
+        return part.map(lambda x: None if x is None else json.dumps(walk(json.loads(x)), ensure_ascii=False))
+
+    return changed(data)
+
+
+def without_personal_json(data: Column) -> Column:
+    """JSON text with the values of personal fields redacted, at any depth; lists
+    and objects under such a name are redacted value by value."""
+    personal = re.compile("|".join(PERSONAL_FIELDS), re.IGNORECASE)
+    return _nested(data, lambda key, value: "[REDACTED]" if key and value is not None and personal.search(key) else value)
+
+
+def safe_prompt_json(data: Column) -> Column:
+    """JSON text whose strings, at any depth, are fit for a prompt."""
+    patterns = [re.compile(p) for p in INJECTIONS]
+
+    def safe(key, value):
+        if not isinstance(value, str):
+            return value
+        value = value.replace("\x00", "")
+        for p in patterns:
+            value = p.sub("[filtered]", value)
+        return value
+
+    return _nested(data, safe)
+
+
 def fits_payload(text: Column, most: int = PAYLOAD_BYTES) -> Column:
     return F.octet_length(text) <= most
 

@@ -39,17 +39,21 @@ def in_areas(listings: DataFrame, areas: DataFrame) -> DataFrame:
     """Listings inside an area's circle: distance_m of the nearest, and areas
     with those that the address names first.
 
-    A listing meets only the areas of its own and the neighbouring cells of a
-    grid of one degree, so that the join is by equality however many areas
-    there are. Circles must be below 50 km. Listings without coordinates, or
-    inside no circle, are not returned.
+    A listing meets only the areas that reach into its cell of a grid of one
+    degree, so that the join is by equality however many areas there are. A
+    circle of any size is in all the cells between its outermost latitudes and
+    longitudes; one that takes in a pole is in all longitudes. Listings without
+    coordinates, or inside no circle, are not returned: leads.left_out().
     """
-    cell = lambda lat, lon: (F.floor(lat).cast("int"), F.floor(lon).cast("int"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    at = cell(F.col("area_latitude"), F.col("area_longitude"))
-    spread = areas.select("*", F.explode(around).alias("d")).select("*", (at[0] + F.col("d.i")).alias("x"), (at[1] + F.col("d.j")).alias("y")).drop("d")
-    here = cell(F.col("latitude"), F.col("longitude"))
-    placed = listings.where("latitude is not null and longitude is not null").withColumn("x", here[0]).withColumn("y", here[1])
+    angle = F.col("radius_m") / EARTH_M
+    reach = F.degrees(angle) + 1e-6
+    polar = F.abs(F.col("area_latitude")) + reach >= 89.9
+    wide = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.least(angle, F.lit(math.pi / 2))) / F.cos(F.radians("area_latitude"))))) + 1e-6)
+    span = lambda mid, d: F.sequence(F.floor(mid - d).cast("int"), F.floor(mid + d).cast("int"))
+    spread = areas.withColumn("x", F.explode(span(F.col("area_latitude"), reach)))
+    spread = spread.withColumn("y", F.explode(F.array_distinct(F.transform(span(F.col("area_longitude"), wide), lambda y: F.pmod(y, F.lit(360))))))
+    placed = listings.where("latitude is not null and longitude is not null")
+    placed = placed.withColumn("x", F.floor("latitude").cast("int")).withColumn("y", F.pmod(F.floor("longitude").cast("int"), F.lit(360)))
     distance = haversine_m(F.col("area_latitude"), F.col("area_longitude"), F.col("latitude"), F.col("longitude"))
     inside = placed.join(spread, ["x", "y"]).withColumn("d", distance).where("d <= radius_m")
     named = F.exists("tokens", lambda t: F.contains(folded(F.col("address")), t))

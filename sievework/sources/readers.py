@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.html import parse
+
 MAX_SITEMAP_URLS = 500
 JSON_PREFIX = r"^\)\]\}'[^\n]*\n?"
 PLACE = (
@@ -142,3 +144,26 @@ def captured_json(responses: DataFrame, most_chars: int, most_count: int, most_t
     order = Window.partitionBy("page_id").orderBy("pos")
     total = F.sum(F.length("body")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return read.withColumn("n", F.row_number().over(order)).withColumn("total", total).where((F.col("n") <= most_count) & (F.col("total") <= most_total)).drop("n", "total")
+
+
+HIT = "array<struct<rank:int,url:string,title:string,snippet:string>>"
+
+
+def result_hits(pages: DataFrame, html: str = "html", most: int = 10) -> DataFrame:
+    """Hits in search-result pages: one row a linked result, at most `most` a
+    page, its rank counted among all results from 0."""
+
+    @F.pandas_udf(HIT)
+    def hits(part: pd.Series) -> pd.Series:
+        out = []
+        for text in part:
+            rows = []
+            for rank, box in enumerate(parse(text).select(".result")):
+                link, words = box.first(".result__a"), box.first(".result__snippet")
+                if len(rows) < most and link is not None and link.attrs.get("href"):
+                    rows.append({"rank": rank, "url": link.attrs["href"], "title": link.text(), "snippet": words.text() if words is not None else ""})
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    others = [c for c in pages.columns if c != html]
+    return pages.select(*others, F.explode(hits.asNondeterministic()(F.col(html))).alias("hit")).select(*others, "hit.*")

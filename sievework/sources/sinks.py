@@ -41,6 +41,41 @@ def with_data_columns(records: DataFrame, data: str = "data", order: str = "seq"
     return records.select(order, *base, *[value(r.key).alias(r.key) for r in first])
 
 
+#: Columns of the flat artifact, fixed values in their order.
+ARTIFACT_COLUMNS = ("record_id", "record_type", "schema_version", "canonical_url", "source_url", "first_seen", "last_seen", "change_type")
+
+
+def artifact_rows(records: DataFrame) -> DataFrame:
+    """The flat artifact: its columns alone, null where a table lacks one."""
+    return records.select(*[F.col(c).cast("string").alias(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in ARTIFACT_COLUMNS])
+
+
+def write_artifact_csv(records: DataFrame, path: str) -> None:
+    artifact_rows(records).write.mode("overwrite").option("header", True).csv(path)
+
+
+def json_lines_of_array(records: DataFrame, key: str) -> DataFrame:
+    """(value): the lines of one JSON array of all rows, indented by two, in the
+    order of a unique key; the part files, one after the other, are the array."""
+    ends = records.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    body = F.to_json(F.struct(*records.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    body = F.concat(F.lit("  "), F.regexp_replace(body, "\n", "\n  "))
+    lead = F.when(F.col(key) == F.col("low"), "[\n").otherwise("")
+    tail = F.when(F.col(key) == F.col("high"), "\n]").otherwise(",")
+    rows = records.join(F.broadcast(ends)).repartitionByRange(key).sortWithinPartitions(key)  # one row of ends
+    return rows.select(F.concat(lead, body, tail).alias("value"))
+
+
+def write_json_array(records: DataFrame, path: str, key: str = "record_id") -> None:
+    json_lines_of_array(records, key).write.mode("overwrite").text(path)
+
+
+def write_marked_csv(rows: DataFrame, path: str) -> None:
+    """CSV whose every part begins with a byte-order mark, for spreadsheets that need one."""
+    first, *others = rows.columns
+    rows.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *[f"`{c}`" for c in others]).write.mode("overwrite").option("header", True).csv(path)
+
+
 def xml_name(key: str) -> tuple[str, str]:
     """A legal element name, and the attribute that keeps the key where it was not."""
     name = re.sub(r"[^A-Za-z0-9_.\-]", "_", key) or "field"
