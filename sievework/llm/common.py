@@ -47,9 +47,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more, on whatever file system it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sends texts to Python in batches of 16 MB where the session keeps the
-    default of 64 MB, so that a worker holds little at a time."""
+    default of 64 MB, so that a worker holds little at a time. Plans run after
+    they are made, so that the setting stays for the session."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
         spark.conf.set(name, "16m")

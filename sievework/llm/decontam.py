@@ -238,7 +238,8 @@ def holds_any(text: Column, index: object) -> Column:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a copy of a benchmark item; columns and
-    their order stay, rows are not moved."""
+    their order stay, rows are not moved. Null and empty texts hold none; an
+    empty table, or an empty benchmark, leaves all as it is."""
     small_batches(docs.sparkSession)
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]

@@ -116,7 +116,8 @@ def mixture(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     Whether a row is taken once more follows from its own draw and the last
     draw that its source takes, so that no text is shuffled. Rows equal in
-    doc_id, text and source share their draw and are taken alike.
+    doc_id, text and source share their draw and are taken alike. Null and
+    wordless texts are not taken; an empty table stays empty.
     """
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
