@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import web
 from ..operators import policies as op
-from ..sources.tables import STRATEGIES, as_of, load, observations, pick
+from ..sources.tables import OBSERVATIONS_SQL, STRATEGIES, as_of, load, observations, pick
 from .registry import query
 
 NOW = "1998-01-01 00:00:00"
@@ -54,14 +54,17 @@ def shadow_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("domain", F.round("precision", 6).alias("precision"), F.round("completeness", 6).alias("completeness"), "recommendation")
 
 
-@query()
+@query(f"""WITH {OBSERVATIONS_SQL}, t AS (SELECT 'u' || job_id AS domain, strategy, count(*) AS n, avg(CASE WHEN blocked THEN 1.0 ELSE 0.0 END) > 0.3 AS b FROM obs WHERE strategy <> 'http' GROUP BY 1, 2),
+w AS (SELECT *, list_position(['http', 'browser', 'overlay', 'json_ld', 'semantic_html'], strategy) AS k, greatest(0.01, (CASE WHEN n < 10 THEN greatest(1.0, 10 - n) ELSE 1.0 END) * (CASE WHEN b THEN 0.1 ELSE 1.0 END))::DOUBLE AS w FROM t),
+u AS (SELECT *, sum(w) OVER (PARTITION BY domain ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY domain) AS total, CAST('0x' || substr(md5(domain), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS draw FROM w)
+SELECT domain, arg_min(strategy, upto) AS strategy FROM u WHERE upto >= draw * total GROUP BY 1""")
 def bandit_explore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weighted draw among the less tried strategies of each user's domain."""
     stats = observations(spark, sf_dir).groupBy(F.concat(F.lit("u"), F.col("job_id")).alias("domain"), "strategy").agg(
         F.count("*").alias("attempts"), (F.avg(F.when(F.col("blocked"), 1.0).otherwise(0.0)) > 0.3).alias("blocked")
     )
     stats = stats.withColumn("position", F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy")))
-    draw = F.pmod(F.xxhash64("domain"), F.lit(1_000_000)) / 1_000_000
+    draw = F.conv(F.substring(F.md5("domain"), 1, 7), 16, 10).cast("double") / float(1 << 28)
     return op.explored(stats, "http", draw)
 
 
@@ -122,7 +125,9 @@ def prompt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.length("html").alias("before"), F.length(small).alias("after"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'id:' || event_id ELSE user_id || '|None|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE rtrim(strftime(ts, '.%f'), '0') END || '|' || coalesce(CAST(props AS VARCHAR), 'None') END AS k FROM events WHERE event_type = 'error'),
+h AS (SELECT event_id, sha1(unhex('{op.DEAD_LETTERS.hex}') || encode(k)) AS x FROM e)
+SELECT event_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(x, 17, 1) AS INTEGER) % 4) + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS dead_letter_id FROM h""")
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable ids of failed events, with and without a key of their own."""
     table = load(spark, sf_dir, "events").where("event_type = 'error'")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import jobs as op
 from ..operators.policies import overlay_faults
-from ..operators.records import clustered, field_errors, first_broken
+from ..operators.records import clustered, field_errors, integrity_fault
 from ..sources.tables import JOBS_SQL, as_of, jobs, load
 from .registry import query
 
@@ -152,17 +152,17 @@ def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.size(field_errors(fields)).alias("n_errors"))
 
 
-@query("""SELECT o_orderkey AS row_id, CASE WHEN o_totalprice - 150000 <= 0 OR o_totalprice > 500000000 THEN 'budget' WHEN length(CAST(o_custkey AS VARCHAR)) < 3 THEN 'deadline'
-  WHEN length(o_orderpriority) < 10 AND NOT contains(o_orderpriority, ' ') OR length(o_orderpriority) < 6 THEN 'title' ELSE 'ok' END AS verdict FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS row_id, CASE o_orderkey % 4 WHEN 0 THEN '€ ' || CAST(o_custkey AS VARCHAR) || ',000,000.5' WHEN 1 THEN '0' WHEN 2 THEN 'on request' END AS budget, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey * 1000000 + 0.5 ELSE 0 END AS amount,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'x' END AS published, substr(CAST(o_orderdate AS VARCHAR), 1, CAST(o_custkey % 7 AS INTEGER)) AS deadline, o_orderpriority AS title FROM orders)
+SELECT row_id, CASE WHEN budget <> '' AND budget <> 'on request' AND (amount <= 0 OR amount > 500000000) THEN 'budget' WHEN published IS NOT NULL AND deadline <> '' AND length(deadline) < 5 THEN 'deadline'
+  WHEN length(title) < 10 OR NOT contains(title, ' ') THEN 'title' ELSE 'ok' END AS verdict FROM o""")
 def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sanity rule that a row breaks."""
-    title = F.col("o_orderpriority")
-    rules = [
-        ("budget", (F.col("o_totalprice") - 150_000 <= 0) | (F.col("o_totalprice") > 500_000_000)),
-        ("deadline", F.length(F.col("o_custkey").cast("string")) < 3),
-        ("title", ((F.length(title) < 10) & ~F.contains(title, F.lit(" "))) | (F.length(title) < 6)),
-    ]
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), first_broken(rules).alias("verdict"))
+    """The first sanity rule that a row breaks, on budgets, deadlines and titles made of orders."""
+    key, number = F.col("o_orderkey"), F.col("o_custkey")
+    budget = F.when(key % 4 == 0, F.concat(F.lit("€ "), number, F.lit(",000,000.5"))).when(key % 4 == 1, "0").when(key % 4 == 2, "on request")
+    deadline = F.substring(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(1), (number % 7).cast("int"))
+    verdict = integrity_fault(budget, F.when(key % 3 != 0, "x"), deadline, F.col("o_orderpriority"))
+    return load(spark, sf_dir, "orders").select(key.alias("row_id"), verdict.alias("verdict"))
 
 
 @query("""WITH v AS (SELECT p_partkey AS model_id, p_brand AS job, p_retailprice * 0.75 + p_size * 0.25 AS price, p_retailprice / (p_size + 1) AS intelligence FROM part WHERE p_size > 2 AND p_name NOT LIKE '%:latest'),
