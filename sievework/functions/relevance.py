@@ -56,17 +56,17 @@ def first_of(types: Column, wanted: tuple[str, ...]) -> Column:
     return F.get(F.filter(types, lambda t: t.isin(*wanted)), F.lit(0))
 
 
-def medical_signal(name: Column, types: Column, include_veterinary: bool = False) -> Column:
+def graded_name(name: Column, types: Column, with_vets: bool = False) -> Column:
     """Struct (tier, signal): names outrank types, veterinary names all others."""
     plain = folded(F.coalesce(name, F.lit("")))
     stem = F.regexp_extract(plain, "(?U)" + "|".join(NAME_STEMS), 0)
     made = lambda tier, kind, value: F.struct(F.lit(tier).alias("tier"), F.concat(F.lit(f"{kind}:"), value).alias("signal"))
     steps = [
-        (F.contains(plain, F.lit(VETERINARY)), made("confirmed" if include_veterinary else "excluded", "name", F.lit(VETERINARY))),
+        (F.contains(plain, F.lit(VETERINARY)), made("confirmed" if with_vets else "excluded", "name", F.lit(VETERINARY))),
         (stem != "", made("confirmed", "name", stem)),
     ]
     graded = [("confirmed", MEDICAL_TYPES), ("excluded", OTHER_TYPES)]
-    graded += [("review", VETERINARY_TYPES)] * include_veterinary + [("review", UNCLEAR_TYPES)]
+    graded += [("review", VETERINARY_TYPES)] * with_vets + [("review", UNCLEAR_TYPES)]
     for tier, wanted in graded:
         found = first_of(types, wanted)
         steps.append((found.isNotNull(), made(tier, "type", found)))

@@ -39,6 +39,7 @@ PERSONAL_FIELDS = (
     "birth|dob|date.of.birth",
     "bank.?account|routing|iban|swift|bic",
 )
+#: Characters that show nothing, and the form of a citation, fixed values.
 HIDDEN = "[\\u200B-\\u200D\\uFEFF\\u2060\\u180E\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 CITATION = r"\[\[record:([^\]]+)\]\]"
 #: Accented letters and their plain forms; what has no composed form is left.

@@ -25,6 +25,7 @@ BLOCK_STATUS = (403, 429, 503)
 BLOCK_TITLES = ("Just a moment...", "Attention Required", "Access Denied", "Checking your browser")
 BLOCK_BODIES = ('"cType":"managed"', '"cType":"interactive"', '"cType":"non-interactive"', "challenges.cloudflare.com/turnstile")
 
+#: What counts as a host name, a fixed value: labels of 63 characters, 253 in all, at least two.
 HOSTNAME = r"^(?=.{1,253}$)(?!-)[a-z0-9-]{1,63}(?<!-)(\.(?!-)[a-z0-9-]{1,63}(?<!-))+$"
 
 

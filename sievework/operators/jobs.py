@@ -37,6 +37,18 @@ def page(table: DataFrame, order: list[Column], limit: int, offset: int = 0, sta
     return table.orderBy(*order).offset(offset).limit(limit)
 
 
+def by_key(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of some keys: a point read of one, or a batch of them. keys: (column)."""
+    return table.join(keys.select(column).distinct(), column, "left_semi")
+
+
+def first_of_key(table: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """One row for each value of a key that should be unique: the first in the order."""
+    rest = [c for c in table.columns if c != column]
+    kept = table.where(F.col(column).isNotNull()).groupBy(column).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first"))
+    return kept.select(column, "first.*")
+
+
 def stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> DataFrame:
     """Running jobs without a recent heartbeat."""
     cutoff = now - F.expr(f"INTERVAL {seconds} SECONDS")
@@ -77,6 +89,27 @@ def updated_states(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def reaped(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> DataFrame:
+    """jobs after stale running ones have failed, by the guarded update, with `outcome`."""
+    late = stale(jobs, now, seconds)
+    return updated_states(jobs, late.select("job_id", F.lit("FAILED").alias("target"), F.col("version").alias("expected_version")))
+
+
+def soft_deleted(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """jobs after some (job_id) are marked as deleted, which ended ones alone can be, with `outcome`."""
+    asked = jobs.join(ids.select("job_id").distinct(), "job_id", "left_semi").select("job_id", F.lit("DELETED").alias("target"), F.col("version").alias("expected_version"))
+    done = updated_states(jobs, asked)
+    return done.withColumn("deleted_at", F.when(F.col("outcome") == "updated", now).otherwise(F.col("deleted_at")))
+
+
+def retried_states(jobs: DataFrame, batch: DataFrame) -> DataFrame:
+    """updated_states() where a conflict is tried once more with the version as it is now."""
+    first = updated_states(jobs, batch)
+    again = first.where("outcome = 'conflict'").select("job_id", F.col("version").alias("expected_version")).join(batch.select("job_id", "target"), "job_id")
+    second = updated_states(first.drop("outcome"), again).withColumnRenamed("outcome", "second")
+    return second.join(first.select("job_id", "outcome"), "job_id").withColumn("outcome", F.when(F.col("second") == "untouched", F.col("outcome")).otherwise(F.col("second"))).drop("second")
+
+
 def keyset_pages(records: DataFrame, limit: int) -> DataFrame:
     """Every record with its page, page's cursor and whether more follow; pages
     run by (created_at, record_id) within a job."""

@@ -20,7 +20,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings with everything that the files show."""
     key = F.col("place_id")
     table = graded(spark, sf_dir).withColumnRenamed("kind", "website_kind")
-    signal = relevance.medical_signal(F.col("name"), F.col("types"))["signal"]
+    signal = relevance.graded_name(F.col("name"), F.col("types"))["signal"]
     return table.withColumns({
         "bucket": places.bucket(F.col("website_kind")), "medical_signal": signal, "specialty": relevance.specialty(F.col("name"), F.col("display")),
         "primary_type": F.col("display"), "areas": F.array(F.col("area"), F.concat("area", F.lit("b"))), "distance_m": F.when(key % 3 != 0, (key % 700).cast("double") + 0.25),

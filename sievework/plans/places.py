@@ -109,7 +109,7 @@ def area_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LISTINGS_SQL}, s AS (SELECT place_id, {SIGNAL_SQL} AS v FROM lst)
 SELECT place_id, split_part(v, '|', 1) AS tier, nullif(split_part(v, '|', 2), '') AS signal, split_part(v, '|', 1) <> 'excluded' AS medical FROM s""")
 def relevance_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = relevance.medical_signal(F.col("name"), F.col("types"))
+    signal = relevance.graded_name(F.col("name"), F.col("types"))
     table = listings(spark, sf_dir).select("place_id", signal.alias("s"))
     return table.select("place_id", "s.tier", "s.signal", (F.col("s.tier") != "excluded").alias("medical"))
 
@@ -137,7 +137,7 @@ w AS (SELECT *, CASE WHEN digits = '' THEN place_id ELSE first_value(place_id) O
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = listings(spark, sf_dir)
-    signal = relevance.medical_signal(F.col("name"), F.col("types"))["tier"]
+    signal = relevance.graded_name(F.col("name"), F.col("types"))["tier"]
     return table.withColumn("relevance", signal).withColumn("kind", web.website_kind(F.col("website")))
 
 

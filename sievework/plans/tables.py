@@ -76,6 +76,55 @@ def job_state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.updated_states(table, batch).select("job_id", "state", "version", "outcome")
 
 
+@query(f"WITH {JOBS_SQL} SELECT job_id, state, version FROM jobs WHERE job_id IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 5)")
+def jobs_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = load(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(F.col("l_orderkey").alias("job_id"))
+    return op.by_key(jobs(spark, sf_dir), keys, "job_id").select("job_id", "state", "version")
+
+
+@query("SELECT o_custkey AS idempotency_key, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS job_id FROM orders GROUP BY 1")
+def jobs_by_idempotency_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job that each idempotency key stands for: the first that was given it."""
+    table = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("idempotency_key"), F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created_at"))
+    return op.first_of_key(table, "idempotency_key", ["created_at", "job_id"]).select("idempotency_key", "job_id")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN late THEN 'FAILED' ELSE state END AS state, version + CASE WHEN late THEN 1 ELSE 0 END AS version
+FROM (SELECT *, coalesce(state = 'RUNNING' AND (last_heartbeat_at IS NULL OR last_heartbeat_at < TIMESTAMP '{NOW}' - INTERVAL 3600 SECOND), false) AS late FROM jobs)""")
+def reaped_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.reaped(jobs(spark, sf_dir), as_of(NOW)).select("job_id", "state", "version")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN hit THEN 'DELETED' ELSE state END AS state, CASE WHEN hit THEN TIMESTAMP '{NOW}' ELSE deleted_at END AS deleted_at
+FROM (SELECT *, job_id % 2 = 0 AND state = 'SUCCEEDED' AS hit FROM jobs)""")
+def soft_deleted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = jobs(spark, sf_dir)
+    return op.soft_deleted(table, table.where("job_id % 2 = 0"), as_of(NOW)).select("job_id", "state", "deleted_at")
+
+
+@query(f"""WITH {JOBS_SQL} SELECT job_id, CASE WHEN state = 'RUNNING' THEN 'FAILED' ELSE state END AS state, version + CASE WHEN state = 'RUNNING' THEN 1 ELSE 0 END AS version,
+  CASE WHEN state = 'RUNNING' THEN 'updated' ELSE 'illegal' END AS outcome FROM jobs WHERE state IN ('RUNNING', 'SUCCEEDED')""")
+def retried_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that expects another version of every second job: the second try gets it."""
+    table = jobs(spark, sf_dir).where("state in ('RUNNING', 'SUCCEEDED')")
+    batch = table.select("job_id", F.lit("FAILED").alias("target"), F.when(F.col("job_id") % 2 == 0, 7).otherwise(1).alias("expected_version"))
+    return op.retried_states(table, batch).select("job_id", "state", "version", "outcome")
+
+
+@query("SELECT l_orderkey AS job_id, l_linenumber AS attempt, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey, l_suppkey) AS place FROM lineitem")
+def attempts_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy(F.col("l_shipdate").desc(), F.col("l_linenumber").desc(), "l_partkey", "l_suppkey")
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("attempt"), F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("""SELECT 'orders' AS name, count(*) AS n_rows, count(*) - count(CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate END) AS null_deleted, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS running FROM orders""")
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls of a column and rows of a state: what a copied table is verified by."""
+    return jobs(spark, sf_dir).agg(
+        F.lit("orders").alias("name"), F.count("*").alias("n_rows"), F.count_if(F.col("deleted_at").isNull()).alias("null_deleted"), F.count_if(F.col("state") == "RUNNING").alias("running")
+    )
+
+
 @query(f"""WITH {RECORDS_SQL}, n AS (SELECT job_id, record_id, created_at, row_number() OVER (PARTITION BY job_id ORDER BY created_at, record_id) - 1 AS k, count(*) OVER (PARTITION BY job_id) AS total FROM rec)
 SELECT job_id, record_id, k // 3 AS page, (k // 3 + 1) * 3 < total AS has_more, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || '|' || record_id AS cursor FROM n""")
 def records_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def one(spark, column, schema="x int", row=(1,)):
     ],
 )
 def test_relevance(spark, name, types, tier):
-    assert one(spark, relevance.medical_signal(F.col("n"), F.col("t"))["tier"], "n string, t array<string>", (name, types)) == tier
+    assert one(spark, relevance.graded_name(F.col("n"), F.col("t"))["tier"], "n string, t array<string>", (name, types)) == tier
 
 
 @pytest.mark.parametrize(
