@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRICE_LEVELS = ("Free", "Inexpensive", "Moderate", "Expensive", "Very Expensive")
 REVIEWS, REVIEW_CHARS = 10, 2000
+#: Levels of objects and lists that are searched for a place.
+LEVELS = 5
 
 
 def at(value: Column, path: str, kind: str = "string") -> Column:
@@ -60,13 +65,35 @@ def search_records(payloads: DataFrame) -> DataFrame:
     return rows.where("name is not null")
 
 
+def first_place(body: Column) -> Column:
+    """JSON text of the first object with place_id and name, in the order of the
+    text, at most LEVELS deep; null if there is none or the body cannot be read."""
+
+    def search(text: str | None) -> str | None:
+        try:
+            todo = [(json.loads(text or "null"), 1)]
+        except ValueError:
+            return None
+        while todo:
+            value, level = todo.pop()
+            if level > LEVELS:
+                continue
+            if isinstance(value, dict) and value.keys() >= {"place_id", "name"}:
+                return json.dumps(value)
+            inner = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
+            todo += [(x, level + 1) for x in reversed(inner)]
+        return None
+
+    @F.pandas_udf("string")
+    def found(part: pd.Series) -> pd.Series:
+        return part.map(search)
+
+    return found.asNondeterministic()(body)  # one search a payload
+
+
 def place_records(payloads: DataFrame) -> DataFrame:
-    """One row a payload (page_id, payload_no, body) whose top or `result`
-    object is a place: an object with place_id and name."""
-    body = F.try_parse_json("body")
-    inner = [at(body, p, "variant") for p in ("$", "$.result", "$.data", "$.data.result", "$.result.place", "$.data.place")]
-    is_place = lambda v: at(v, "$.place_id").isNotNull() & at(v, "$.name").isNotNull()
-    p = F.coalesce(*[F.when(is_place(v), v) for v in inner])
+    """One row a payload (page_id, payload_no, body) that holds a place."""
+    p = F.try_parse_json(first_place(F.col("body")))
     rows = payloads.withColumn("p", p).where("p is not null")
     p = F.col("p")
     level = at(p, "$.price_level", "int")

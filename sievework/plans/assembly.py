@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import assembly as op
 from ..operators import extraction as ex
+from ..operators import maps
 
 from ..sources import readers, sinks
 from ..sources.tables import load
@@ -230,3 +231,26 @@ def artifact_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("r"), key).alias("record_id"), F.lit("generic").alias("record_type"), F.concat(F.lit("http://x/"), key).alias("source_url"), F.lit("NEW").alias("change_type"), F.lit("{}").alias("data")
     )
     return sinks.artifact_rows(rows)
+
+
+@query("""SELECT s_suppkey AS page_id, 'p' || s_suppkey AS place_id, s_name AS name, 4.5::DOUBLE AS rating, CASE WHEN s_suppkey % 3 = 0 THEN 'Moderate' END AS price_level FROM supplier WHERE s_suppkey % 4 <> 3""")
+def map_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places at several depths of a payload; one at a sixth level is not found."""
+    key = F.col("s_suppkey")
+    place = F.to_json(F.struct(F.concat(F.lit("p"), key).alias("place_id"), F.col("s_name").alias("name"), F.lit(4.5).alias("rating"), F.when(key % 3 == 0, 2).alias("price_level")))
+    wrapped = F.when(key % 4 == 0, place).when(key % 4 == 1, F.concat(F.lit('{"x": [1, {"y": {"z": '), place, F.lit("}}]}")))
+    wrapped = wrapped.when(key % 4 == 2, F.concat(F.lit('{"result": '), place, F.lit("}"))).otherwise(F.concat(F.lit('[[[[{"deep": '), place, F.lit("}]]]]")))
+    rows = maps.place_records(load(spark, sf_dir, "supplier").select(key.alias("page_id"), F.lit(0).alias("payload_no"), wrapped.alias("body")))
+    return rows.select("page_id", "place_id", "name", "rating", "price_level")
+
+
+@query("""SELECT s_suppkey AS page_id, 0 AS pos, s_name AS name, 'id' || s_suppkey AS place_id, 'street, city' AS address, 5.0::DOUBLE AS rating, 12 AS reviews_count, 'http://w' AS website, 40.5::DOUBLE AS latitude, 'cafe' AS category FROM supplier""")
+def map_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Businesses by position in a search payload; the payload with the most counts."""
+    key = F.col("s_suppkey")
+    business = F.concat(
+        F.lit('["id'), key, F.lit('", 0, ["street", " ", "city"], 0, [0, 0, 0, 0, 0, 0, 0, 7.5, 12], 0, 0, ["http://w"], 0, [0, 0, 40.5, 22.5], "d", "'), F.col("s_name"), F.lit('", 0, ["cafe"]]')
+    )
+    full = F.concat(F.lit("[[0, [0, [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, "), business, F.lit("]]]]"))
+    payload = load(spark, sf_dir, "supplier").select(key.alias("page_id"), F.posexplode(F.array(F.lit("[[0, [0]]]"), full)).alias("payload_no", "body"))
+    return maps.search_records(payload).select("page_id", "pos", "name", "place_id", "address", "rating", "reviews_count", "website", "latitude", "category")
