@@ -219,18 +219,16 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> 63 else x
 
 
-def hamming_links(fps: DataFrame, radius: int, kept: int = 2, chunk: int = 1024, n_blocks: int | None = None) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int, kept: int = 2, chunk: int = 1024) -> DataFrame:
     """(a, b): links among the distinct fingerprints of column fp (long) that
     connect exactly what all pairs within the radius connect.
 
-    Candidates share `kept` of n_blocks blocks, radius + kept unless given;
-    with fewer blocks pairs beyond n_blocks - kept bits are found by chance. A bucket over `chunk`
-    rows is split into chunks by hash and each pair of chunks is a group of
-    its own, so that a task never holds more than about two chunks of one
+    Candidates share `kept` of radius + kept blocks. A bucket over `chunk` rows
+    is split into chunks by hash and each pair of chunks is a group of its own, so that a task never holds more than about two chunks of one
     bucket, and no pair is skipped. Only spanning links leave a group.
     Null fingerprints link nothing; no rows give no links.
     """
-    masks = block_masks(n_blocks or radius + kept, kept)
+    masks = block_masks(radius + kept, kept)
     # a bucket's key is a hash of table and block value; buckets that share a key by chance are compared in vain
     keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]
     blocks = fps.where(F.col("fp").isNotNull()).select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("k"))

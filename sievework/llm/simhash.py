@@ -79,19 +79,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 #: Near copies of the pipeline: five-word shingles, similarity, texts compared in one place.
 WIDTH, SIMILAR, CHUNK = 5, 0.8, 256
-#: Bits within which fingerprints of near copies mostly lie: those of similarity
-#: 0.8 differ in 9.6 of 64 bits on average. The search itself is by shingles.
-NEAR_RADIUS = 12
 #: Shingles whose hash falls in so many of eight classes are counted over all texts.
 SAMPLED = 3
 #: Classes of the shingle counts that a pair is weighed by before its shingles are compared.
 CLASSES = 128
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes((text or "").encode(), WIDTH))
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two shingle sets is SIMILAR or more."""
     most, least = max(len(a), len(b)), min(len(a), len(b))
@@ -247,7 +240,7 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
     Texts are linked if they are equal, or if the similarity of their five-word
     shingles is SIMILAR or more; no such pair is passed over. Texts without
     words, null ones among them, are one group. Texts of candidates alone are
-    shuffled and compared, in chunks of CHUNK.
+    compared, in chunks of CHUNK; to find them all texts are joined with them.
     """
     small_batches(docs.sparkSession)
     mark = F.xxhash64("text")
