@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Places over which the edges of one node are dealt.
-SALTS = 8
+SALTS = 3
 #: Edges that a task unites at a time; what they link is what the next take up.
 AT_ONCE = 1 << 20
 
