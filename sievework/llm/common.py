@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one run, below the shared checkpoint folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str, *partitions: str) -> DataFrame:
+    """df as a table in a shared folder: cut from its lineage like saved(), but
+    compressed, and readable by columns and partitions."""
+    df.write.partitionBy(*partitions).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def dropped(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that nothing reads any more, on whatever file system it is."""
     sc = spark.sparkContext

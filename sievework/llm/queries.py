@@ -16,6 +16,7 @@ from .quality import quality_verdicts
 from .secrets import digest_columns, secret_spans
 from .sharding import shards
 from .simhash import hex_fingerprint, simhash_groups
+from .spelling import spelling_variants
 from .urlrules import url_verdicts
 
 
@@ -53,7 +54,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mix.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_pii": op2_pii,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
+    "op11_spelling": op11_spelling,
 }
 
 
