@@ -18,6 +18,7 @@ from .sharding import shards
 from .simhash import hex_fingerprint, simhash_groups
 from .spelling import spelling_variants
 from .urlrules import url_verdicts
+from .whitening import whitened_embeddings
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_pii": op2_pii,
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
     "op11_spelling": op11_spelling,
+    "op13_whitening": op13_whitening,
 }
 
 
