@@ -11,6 +11,7 @@ from .licenses import license_scan
 from .lines import removals
 from .mixing import mixed
 from .oracles import ORACLE_SQL
+from .pagetext import main_texts
 from .pii import pseudonymised
 from .quality import quality_verdicts
 from .secrets import digest_columns, secret_spans
@@ -70,6 +71,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_urls": op10_urls,
     "op11_spelling": op11_spelling,
+    "op12_pagetext": op12_pagetext,
     "op13_whitening": op13_whitening,
 }
 
