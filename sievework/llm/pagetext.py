@@ -10,8 +10,8 @@ that say what they are (nav, footer, aside, form, hidden ones, names like
 Shared lines are deleted, with two safeguards, since articles are copied and
 quoted too. A neighbour that shares a page's longest line is a copy of it and
 says nothing about the template, unless no other is near and enough remains.
-Inside of a named article a line goes only if all neighbours share it that are
-no copies, four at least.
+Inside of a named article a line goes only if WITNESSES neighbours, all that
+are compared, share it.
 
 Only hashes of lines are sorted and compared. Pages get a global rank by host
 and path, and neighbours meet in blocks of ranks that overlap by as many ranks
@@ -36,10 +36,10 @@ from .common import saved, slices, small_batches
 from .sharding import prefix_sums
 from .urlrules import host_of, path_of
 
-#: Ranks on either side among which a page looks for neighbours, how many it takes, and pages of a block of ranks.
-AROUND, NEIGHBOURS, BLOCK = 6, 6, 256
-#: Neighbours that must share a line of a named article.
-WITNESSES = 4
+#: Ranks on either side among which a page looks for neighbours, and pages of a block of ranks.
+AROUND, BLOCK = 10, 256
+#: Neighbours that are compared, copies aside; all must share a line of a named article that goes.
+WITNESSES = 8
 #: Share of the text that must remain where only likely copies are near.
 REMAINS = 0.1
 
@@ -217,6 +217,8 @@ def shared_lines(page: dict, near: list[dict]) -> list[int]:
     total = sum(sizes[i] for i in own)
     partner, copies, votes, witnesses = None, [], Counter(), 0
     for other in near:
+        if witnesses == (WITNESSES if page["named"] else 1):
+            break
         same = aligned(lines, other["lines"])
         if longest in same:
             copies.append((sum(sizes[i] for i in same if place[i] == ARTICLE), len(copies), same))
@@ -225,7 +227,7 @@ def shared_lines(page: dict, near: list[dict]) -> list[int]:
         witnesses += 1
         votes.update(same)
     if page["named"]:
-        gone = {i for i in votes if votes[i] == witnesses >= WITNESSES}
+        gone = {i for i in votes if votes[i] == WITNESSES}
         return sorted(gone | {i for i in partner or () if place[i] != ARTICLE})
     if partner is None and copies and total - min(copies)[0] >= REMAINS * total:
         partner = min(copies)[2]
@@ -264,7 +266,7 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if page["home"]:
                 near = [j for j in range(max(0, i - AROUND), min(len(pages), i + AROUND + 1)) if j != i and pages[j]["host"] == page["host"]]
                 near.sort(key=lambda j: (-_same_start(page["path"], pages[j]["path"]), abs(i - j), j))
-                gone = shared_lines(page, [pages[j] for j in near[:NEIGHBOURS]])
+                gone = shared_lines(page, [pages[j] for j in near])
                 if gone:
                     out.append((page["key"], gone))
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([g for _, g in out], pa.list_(pa.int32()))], ["key", "gone"])
