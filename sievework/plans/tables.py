@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..operators import jobs as op
 from ..operators.policies import overlay_faults
-from ..operators.records import clustered, field_errors, integrity_fault
+from ..operators.records import field_errors, integrity_fault
+from ..operators.titles import clustered
 from ..sources.tables import JOBS_SQL, as_of, jobs, load
-from .registry import query
+from .registry import GREEDY_SQL, LIKE_SQL, query
 
 #: A time inside the range of order dates, so that some rows are on either side.
 NOW = "1997-01-01 00:00:00"
@@ -296,8 +297,23 @@ def overlay_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("overlay_id", "f.missing", "f.extra")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, lower(p_name) AS title, CASE WHEN p_brand <> 'Brand#7' THEN p_brand END AS buyer, p_size AS deadline,
+  p_type || p_size || p_brand AS address, CASE WHEN p_size < 10 THEN p_brand || p_name END AS outer_id FROM part),
+t AS (SELECT DISTINCT title FROM p), likes AS (SELECT a.title AS ta, b.title AS tb FROM t a JOIN t b ON {LIKE_SQL.format(a="a.title", b="b.title")}),
+pairs AS (SELECT x.k AS later, y.k AS earlier, CASE WHEN y.address = x.address THEN 0 WHEN y.outer_id = x.outer_id THEN 1 WHEN y.buyer IS NOT DISTINCT FROM x.buyer THEN 2 ELSE 3 END AS kind
+ FROM p x JOIN p y ON y.k < x.k LEFT JOIN likes l ON l.ta = x.title AND l.tb = y.title
+ WHERE y.address = x.address OR y.outer_id = x.outer_id OR l.ta IS NOT NULL AND (y.buyer IS NOT DISTINCT FROM x.buyer OR y.buyer IS NULL AND y.deadline = x.deadline)),
+e AS MATERIALIZED (SELECT later, list(earlier) AS before FROM pairs GROUP BY 1),
+n AS (SELECT k, row_number() OVER (ORDER BY k) AS i, coalesce(before, []) AS before FROM p LEFT JOIN e ON later = k),
+{GREEDY_SQL.format(key="k")},
+kept AS (SELECT unnest(kept) AS k FROM g WHERE i = (SELECT max(i) FROM g)),
+heads AS (SELECT later, arg_min(earlier, kind * 1000000000 + earlier) AS head FROM pairs WHERE earlier IN (SELECT k FROM kept) AND later NOT IN (SELECT k FROM kept) GROUP BY 1)
+SELECT k AS p_partkey, coalesce(head, k) AS group_no FROM p LEFT JOIN heads ON later = k""")
 def legacy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose names are alike, of one brand and batch, under their first."""
-    table = load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(F.col("p_partkey") / 200).alias("batch"), "p_name", F.col("p_size").cast("string").alias("size"))
-    return clustered(table, ["p_brand", "batch"], "p_partkey", "p_name", "size").select("p_partkey", "group_no")
+    """Parts under the first kept one that they repeat: by address, outer id, or like names of a brand (one brand is
+    taken as none, so that its parts meet all others of their size)."""
+    table = load(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", F.expr("nullif(p_brand, 'Brand#7')").alias("buyer"), F.col("p_size").alias("deadline"),
+        F.concat("p_type", F.col("p_size").cast("string"), "p_brand").alias("address"), F.when(F.col("p_size") < 10, F.concat("p_brand", "p_name")).alias("outer_id"),
+    )
+    return clustered(table, "p_partkey", "p_name", "buyer", "deadline", "address", "outer_id").select("p_partkey", "group_no")

@@ -79,14 +79,11 @@ def test_keyset_pages_and_bad_cursor(spark):
         jobs.after_cursor(rows, 1, "nonsense", 2).collect()
 
 
-def test_phone_and_fuzzy(spark):
+def test_phone_and_ratio(spark):
     digits = {one(spark, places.phone_digits(F.col("p")), "p string", (p,)) for p in ("2392021745", "2392 021745", "+30 2392 021745", "0030 2392021745")}
     assert digits == {"2392021745"}
     assert records.title_ratio("abcd", "abcd") == 100 and records.title_ratio("", "") == 100 and records.title_ratio("ab", "ba") == 50
     assert records.common_length("kitten", "sitting") == 4
-    rows = spark.createDataFrame([(1, "a", "The same title here"), (2, "a", "the same title here!"), (3, "b", "The same title here"), (4, "a", None), (5, "a", None)], "n long, k string, title string")
-    assert sorted(r.n for r in records.fuzzy_first(rows, ["k"], "n", "title").collect()) == [1, 3, 4, 5]
-    assert records.clusters([("Road works", "d"), ("Road work", "d"), ("Road works", "e")]) == [0, 0, 2]
 
 
 def test_change_cases(spark):
