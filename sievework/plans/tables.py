@@ -307,7 +307,7 @@ e AS MATERIALIZED (SELECT later, list(earlier) AS before FROM pairs GROUP BY 1),
 n AS (SELECT k, row_number() OVER (ORDER BY k) AS i, coalesce(before, []) AS before FROM p LEFT JOIN e ON later = k),
 {GREEDY_SQL.format(key="k")},
 kept AS (SELECT unnest(kept) AS k FROM g WHERE i = (SELECT max(i) FROM g)),
-heads AS (SELECT later, arg_min(earlier, kind * 1000000000 + earlier) AS head FROM pairs WHERE earlier IN (SELECT k FROM kept) AND later NOT IN (SELECT k FROM kept) GROUP BY 1)
+heads AS (SELECT later, arg_min(earlier, kind::BIGINT * 1000000000 + earlier) AS head FROM pairs WHERE earlier IN (SELECT k FROM kept) AND later NOT IN (SELECT k FROM kept) GROUP BY 1)
 SELECT k AS p_partkey, coalesce(head, k) AS group_no FROM p LEFT JOIN heads ON later = k""")
 def legacy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts under the first kept one that they repeat: by address, outer id, or like names of a brand (one brand is
