@@ -65,8 +65,8 @@ def bucket_order() -> list[Column]:
 
 
 def listing_rows(listings: DataFrame) -> DataFrame:
-    """The columns of the listings file: areas as one text, distances in whole metres."""
-    made = {"area": first_area(F.col("areas")), "areas": F.array_join("areas", ", "), "distance_m": F.round("distance_m").cast("long")}
+    """The columns of the listings file: areas as one text, distances in whole metres, halves to the even one."""
+    made = {"area": first_area(F.col("areas")), "areas": F.array_join("areas", ", "), "distance_m": F.bround("distance_m").cast("long")}
     return listings.select(*[made.get(c, F.col(c)).alias(c) for c in LISTING_COLUMNS])
 
 

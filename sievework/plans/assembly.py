@@ -12,7 +12,7 @@ from ..operators import maps
 
 from ..sources import readers, sinks
 from ..sources.tables import load
-from ..streaming import stages, streams
+from ..streaming import keyed, stages, streams
 from .pages import ARTICLES_SQL, hosts_with, joined_text, payloads
 from .registry import query
 from .tables import RECORDS_SQL, records
@@ -192,11 +192,29 @@ def processed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.audited(pages, stored).groupBy("change_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id AS root, CAST(event_id % 40 AS VARCHAR) AS url FROM events GROUP BY 1, 2")
+@query("""WITH s AS (SELECT user_id AS root, CAST(event_id % 4 AS VARCHAR) AS url, ts AS seen_at, lag(ts) OVER (PARTITION BY user_id, event_id % 4 ORDER BY ts) AS before FROM events)
+SELECT root, url, seen_at FROM s WHERE before IS NULL OR epoch_ms(seen_at) - epoch_ms(before) >= 86400000""")
 def stream_seen_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each URL of a crawl tree once, as a stream with state."""
-    stream = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("root"), (F.col("event_id") % 40).cast("string").alias("url"))
-    return streams.drained(stages.unseen(stream, "root", "url"))
+    """URLs that their crawl tree has not had for a day, as a stream whose state goes by timers."""
+    stream = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("root"), (F.col("event_id") % 4).cast("string").alias("url"), F.col("ts").alias("seen_at"))
+    with keyed.rocks(spark):
+        out = streams.drained(keyed.seen_of_late(stream, "root", "url", "seen_at", 86_400, "400 days"))
+    return out.withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type IN ('click', 'purchase') AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type <> 'signup'),
+f AS (SELECT user_id, coalesce(min(i) FILTER (WHERE ok), 1000000) AS k, count(*) AS n FROM r GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS event_id, CASE WHEN k <= 3 THEN 'delivered' ELSE 'failed' END AS action, least(k, 3) AS attempt FROM f
+WHERE (k <= 3 OR n >= 3) AND user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""")
+def stream_outbox_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of outbox events by a table of attempts: delivered at the first success, failed after three failures."""
+    kind = F.when(F.col("event_type") == "signup", "new").when(F.col("event_type").isin("click", "purchase"), "ok").otherwise("failed")
+    messages = streams.table_stream(spark, f"{sf_dir}/events.parquet").select(
+        F.col("user_id").cast("string").alias("event_id"), F.lit("jobs_stream").alias("stream"), kind.alias("kind"), F.lit(None).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("at")
+    )
+    with keyed.rocks(spark):
+        out = streams.drained(keyed.deliveries(messages, event_time=True, late="400 days"))
+    return out.where("action != 'send'").select("event_id", "action", "attempt")
 
 
 @query("""SELECT CASE WHEN event_id % 17 = 0 THEN 'unreadable' WHEN event_type <> 'error' THEN 'done' WHEN event_id % 4 >= 2 THEN 'exhausted' ELSE 'retry' END AS fate, count(*) AS n FROM events GROUP BY 1""")

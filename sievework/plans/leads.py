@@ -51,7 +51,7 @@ def search_address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CLASSIFIED_SQL}
 SELECT bucket, relevance, name, phone, address, website, kind AS website_kind, specialty, display AS primary_type, area, area || ', ' || area || 'b' AS areas,
-  CAST(round(distance_m) AS BIGINT) AS distance_m, medical_signal, rating, CAST(place_id % 40 AS INTEGER) AS reviews_count, maps_uri, place_id,
+  CAST(round_even(distance_m, 0) AS BIGINT) AS distance_m, medical_signal, rating, CAST(place_id % 40 AS INTEGER) AS reviews_count, maps_uri, place_id,
   row_number() OVER (PARTITION BY bucket ORDER BY area, coalesce(distance_m, 0), name, place_id) AS place FROM cls""")
 def listing_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listings file, each row with its place in its bucket."""

@@ -1,21 +1,15 @@
-"""The message stages as streams: seen URLs, processing, reporting, dead letters."""
+"""The message stages as streams: processing, reporting, dead letters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extraction import processed, record_rows
 from ..operators.records import changes
-from .streams import each_batch, split_batch
-
-
-def unseen(stream: DataFrame, root: str, url: str) -> DataFrame:
-    """The URLs of each crawl tree that it has not had, each once: the state keeps
-    what was seen, by tree and URL, spread over the cluster."""
-    return stream.dropDuplicates([root, url])
+from .streams import DEAD_MOST, STREAM_MOST, each_batch, numbered, put, removed, split_batch
 
 
 def audited(pages: DataFrame, stored: DataFrame) -> DataFrame:
@@ -49,36 +43,56 @@ def process(stream: DataFrame, stored: Callable[[], DataFrame], records_path: st
     each_batch(stream, act)
 
 
-def report(stream: DataFrame, channels: dict[str, Callable[[DataFrame, int], None]]) -> None:
-    """Gives each micro-batch of events to every channel. The batch fails, and is
-    given again, only if all channels fail; some failures are let pass, since
-    the others would get it twice."""
+def report(stream: DataFrame, channels: dict[str, Callable[[DataFrame, int], None]], ledger: str) -> None:
+    """Gives each micro-batch of events to every channel, once to each.
+
+    `ledger` is a folder that keeps which channel took which batch, and the
+    batches that a channel has still to take: those are offered to it again,
+    in order, before a later one is, at each batch and by `caught_up`. So a
+    channel that is away holds up no other, loses nothing and gets nothing
+    twice; only a crash between delivery and its entry repeats a delivery, with
+    the same number. If all channels fail the batch fails and is given again.
+    """
 
     def act(batch: DataFrame, number: int) -> None:
-        failed = {}
-        for name, deliver in channels.items():
-            try:
-                deliver(batch, number)
-            except Exception as e:  # any failure of a channel counts the same
-                failed[name] = e
+        spark = batch.sparkSession
+        waiting = [name for name in channels if number not in numbered(spark, f"{ledger}/taken/{name}")]
+        for name in waiting:
+            if number not in numbered(spark, f"{ledger}/waiting/{name}"):
+                batch.write.mode("overwrite").parquet(f"{ledger}/waiting/{name}/batch={number}")
+        failed = caught_up(spark, {name: channels[name] for name in waiting}, ledger)
         if failed and len(failed) == len(channels):
             raise RuntimeError(f"all channels failed for batch {number}: {failed}")
 
-    each_batch(stream, act)
+    each_batch(stream, act, f"{ledger}/checkpoint")
 
 
-#: Dead letters that are kept of one micro-batch's reason as text, in characters.
-REASON_CHARS = 10_000
+def caught_up(spark: SparkSession, channels: dict[str, Callable[[DataFrame, int], None]], ledger: str) -> dict[str, Exception]:
+    """Offers each channel what it has still to take; the channels that failed, and how."""
+    failed: dict[str, Exception] = {}
+    for name, deliver in channels.items():
+        for number in numbered(spark, f"{ledger}/waiting/{name}"):
+            own = f"{ledger}/waiting/{name}/batch={number}"
+            if number not in numbered(spark, f"{ledger}/taken/{name}"):
+                try:
+                    deliver(spark.read.parquet(own), number)
+                except Exception as e:  # any failure of a channel counts the same
+                    failed[name] = e
+                    break
+                spark.range(1).write.mode("overwrite").parquet(f"{ledger}/taken/{name}/batch={number}")
+            removed(spark, own)
+    return failed
 
 
 def consume(stream: DataFrame, failed: Column, done_path: str, retry_path: str, dead_path: str) -> None:
     """Sorts each micro-batch of raw messages into those done, to be tried again,
-    and dead, each in a folder of its own by the batch's number."""
+    and dead, each in a folder of its own by the batch's number. The streams of
+    messages and of dead letters keep their newest entries."""
 
     def act(batch: DataFrame, number: int) -> None:
         done, retry, dead = split_batch(batch, failed)
-        dead = dead.withColumn("reason", F.substring("reason", 1, REASON_CHARS))
-        for rows, path in ((done, done_path), (retry, retry_path), (dead, dead_path)):
-            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        done.write.mode("overwrite").parquet(f"{done_path}/batch={number}")
+        put(retry, retry_path, number, STREAM_MOST)
+        put(dead, dead_path, number, DEAD_MOST)
 
     each_batch(stream, act)

@@ -28,19 +28,50 @@ def test_processing_stores_records_and_leaves_events(spark, pages, tmp_path):
     assert events.agg(F.sum("new_count"), F.sum("updated_count")).first()[:] == (5, 1)
 
 
-def test_a_report_fails_only_if_all_channels_do(spark, pages):
-    seen = []
+def test_a_channel_that_was_away_gets_what_it_missed_once(spark, pages, tmp_path):
+    got, away = {"file": [], "chat": []}, {"chat"}
 
-    def works(batch, number):
-        seen.append(batch.count())
+    def channel(name):
+        def deliver(batch, number):
+            if name in away:
+                raise OSError("away")
+            got[name].append((number, sorted(r.page_id for r in batch.collect())))
 
-    def breaks(batch, number):
-        raise OSError("away")
+        return deliver
+
+    channels, ledger = {n: channel(n) for n in got}, f"{tmp_path}/ledger"
+    stages.report(streams.table_stream(spark, pages, 1), channels, ledger)
+    assert [n for n, _ in got["file"]] == [0, 1, 2] and not got["chat"]
+    assert list(stages.caught_up(spark, channels, ledger)) == ["chat"]
+    away.clear()
+    spark.read.parquet(pages).limit(0).unionByName(spark.createDataFrame([(9, "u", "h", 200)], "page_id long, url string, html string, status int")).coalesce(1).write.mode("append").parquet(pages)
+    stages.report(streams.table_stream(spark, pages, 1), channels, ledger)  # goes on where it was
+    assert got["chat"] == got["file"] and [n for n, _ in got["file"]] == [0, 1, 2, 3]
+    assert sorted(i for _, ids in got["chat"] for i in ids) == [0, 1, 2, 3, 4, 5, 9]
+    assert stages.caught_up(spark, channels, ledger) == {} and len(got["chat"]) == 4
+
+
+def test_a_batch_fails_if_all_channels_do_and_comes_again(spark, pages, tmp_path):
+    seen, broken = [], [True]
+
+    def chat(batch, number):
+        if broken[0]:
+            raise OSError("away")
+        seen.append((number, batch.count()))
 
-    stages.report(streams.table_stream(spark, pages), {"file": works, "chat": breaks})
-    assert sum(seen) == 6
     with pytest.raises(Exception, match="all channels failed"):
-        stages.report(streams.table_stream(spark, pages), {"chat": breaks})
+        stages.report(streams.table_stream(spark, pages), {"chat": chat}, f"{tmp_path}/ledger")
+    broken[0] = False
+    stages.report(streams.table_stream(spark, pages), {"chat": chat}, f"{tmp_path}/ledger")
+    assert seen == [(0, 6)]
+
+
+def test_streams_let_their_oldest_batches_go(spark, tmp_path):
+    for number in range(5):
+        streams.put(spark.range(10), f"{tmp_path}/dead", number, 25)
+    streams.put(spark.range(10), f"{tmp_path}/dead", 4, 25)  # again after a failure
+    assert streams.numbered(spark, f"{tmp_path}/dead") == [2, 3, 4]
+    assert streams.numbered(spark, f"{tmp_path}/none") == []
 
 
 def test_files(spark, tmp_path):
