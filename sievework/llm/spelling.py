@@ -101,10 +101,14 @@ def edges_of(ways: DataFrame, first: int) -> DataFrame:
 
 def stepped(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one level down. States without an edit are given for every
-    word at its own place, so that only states with one are made here."""
+    word at its own place, so that only states with one are made here.
+
+    A letter added to a run of its like, or taken from one, is that behind or
+    at the end of the run, so that no state is made twice. A node has no more
+    edges than there are letters: the edges of a partition are its hash table."""
     word, pos, letter = F.col("word"), F.col("pos"), F.col("letter")
     size = F.length(word)
-    met = states.withColumnRenamed("node", "parent").join(edges, F.col("parent") == F.col("node"))
+    met = states.withColumnRenamed("node", "parent").join(edges.hint("shuffle_hash"), F.col("parent") == F.col("node"))
     may = lambda at: F.col("ends").bitwiseAND(signed(rest(word, at))) != 0
     own = lambda at: F.substring(word, at + 1, F.lit(1))
     clean, edited = F.col("edits") == 0, F.col("edits") == 1
@@ -112,11 +116,11 @@ def stepped(states: DataFrame, edges: DataFrame) -> DataFrame:
         F.array(
             F.when(edited & (letter == own(pos)) & may(pos + 1), pos + 1),  # read on
             F.when(clean & (pos < size) & (letter != own(pos)) & may(pos + 1), pos + 1),  # replaced
-            F.when(clean & may(pos), pos),  # one letter more in the trie
-            F.when(clean & (pos + 1 < size) & (letter == own(pos + 1)) & may(pos + 2), pos + 2),  # one letter less, then read on
+            F.when(clean & (letter != own(pos)) & may(pos), pos),  # one letter more in the trie; behind the end own() is empty
+            F.when(clean & (letter == own(pos + 1)) & (letter != own(pos)) & may(pos + 2), pos + 2),  # one letter less, then read on
         )
     )
-    moved = met.select("word", "way", F.explode(to).alias("pos"), F.col("child").alias("node")).distinct()
+    moved = met.select("word", "way", F.explode(to).alias("pos"), F.col("child").alias("node"))
     return moved.withColumn("done", F.col("pos") == F.length("word"))
 
 
