@@ -29,10 +29,10 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, small_batches
+from .common import is_member, membership, saved, slices, small_batches
 from .sharding import prefix_sums
 from .urlrules import host_of, path_of
 
@@ -234,7 +234,7 @@ def shared_lines(page: dict, near: list[dict]) -> list[int]:
     return partner or []
 
 
-MEASURES = "key string, host string, path string, lines array<long>, sizes array<int>, place array<int>, named boolean"
+MEASURES = "key string, host string, path string, lines array<long>, sizes array<int>, place array<tinyint>, named boolean"
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +246,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 *(batch.column(c) for c in ("key", "host", "path")),
                 pa.array(hashes, pa.list_(pa.int64())),
                 pa.array([[len(t) for t in r[0]] for r in rows], pa.list_(pa.int32())),
-                pa.array([r[1] for r in rows], pa.list_(pa.int32())),
+                pa.array([r[1] for r in rows], pa.list_(pa.int8())),
                 pa.array([r[2] for r in rows]),
             ],
             ["key", "host", "path", "lines", "sizes", "place", "named"],
@@ -264,7 +264,7 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, page in enumerate(pages):
             if page["home"]:
-                near = [j for j in range(max(0, i - AROUND), min(len(pages), i + AROUND + 1)) if j != i and pages[j]["host"] == page["host"]]
+                near = [j for j in range(max(0, i - AROUND), min(len(pages), i + AROUND + 1)) if pages[j]["key"] != page["key"] and pages[j]["host"] == page["host"]]
                 near.sort(key=lambda j: (-_same_start(page["path"], pages[j]["path"]), abs(i - j), j))
                 gone = shared_lines(page, [pages[j] for j in near])
                 if gone:
@@ -283,7 +283,8 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(key, gone): positions of template lines, of pages (key, host, path, html) with a host; keys are distinct."""
+    """(key, gone): positions of template lines, of pages (key, host, path, html)
+    with a host; a page that is there several times is compared once."""
     measured = pages.where("host != ''").mapInArrow(_measured, MEASURES).dropDuplicates(["key"]).withColumn("one", F.lit(1))
     ranked = prefix_sums(measured, ["host", "path", "key"], "one")
     own = F.floor(F.col("number") / BLOCK)
@@ -307,6 +308,20 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
 
+def _mark(key: Column) -> Column:
+    return F.xxhash64(key)
+
+
+def _sieved(words: np.ndarray, kept: bool):
+    """Rows whose mark may be in a membership filter, or those whose is not."""
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_member(words, batch.column("mark").to_numpy().view(np.uint64)) == kept))
+
+    return sieve
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_frame, n_outside, n_shared, a row a page.
 
@@ -321,7 +336,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     keyed = pages.select("page_id", "url", "html", key.alias("key"), host.alias("host"), path.alias("path"))
     gone = saved(template_lines(keyed.select("key", "host", "path", "html")))
-    joined = keyed.select(F.struct("page_id", "url").alias("row"), "html", "key").join(gone, "key", "left").select("row", "html", "gone")
+    # few pages share lines that markup left: those alone are moved to be joined, found by a filter of bounded size
+    words = membership(gone.select(_mark(F.col("key")).alias("mark")), "mark")
+    given = keyed.select(F.struct("page_id", "url").alias("row"), "html", "key", _mark(F.col("key")).alias("mark"))
+    some = given.mapInArrow(_sieved(words, True), given.schema).join(gone, "key", "left").select("row", "html", "gone")
+    others = given.mapInArrow(_sieved(words, False), given.schema).select("row", "html", F.lit(None).cast("array<int>").alias("gone"))
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     schema = f"row struct<page_id:{kinds['page_id']},url:{kinds['url']}>, text string, n_chars long, n_lines long, n_frame long, n_outside long, n_shared long"
-    return joined.mapInArrow(_written, schema).select("row.*", "text", "n_chars", "n_lines", "n_frame", "n_outside", "n_shared")
+    return others.unionByName(some).mapInArrow(_written, schema).select("row.*", "text", "n_chars", "n_lines", "n_frame", "n_outside", "n_shared")
