@@ -66,9 +66,9 @@ def node_of(way: Column, prefix: Column) -> Column:
     return F.xxhash64(way, prefix)
 
 
-def signed(ending: Column) -> Column:
-    """The signature's bit of an ending."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.xxhash64(ending).bitwiseAND(F.lit(63))).cast("int"))
+def mark_of(ending: Column) -> Column:
+    """The number of an ending's bit in a signature."""
+    return F.xxhash64(ending).bitwiseAND(F.lit(63)).cast("int")
 
 
 def rest(word: Column, pos: Column) -> Column:
@@ -94,7 +94,7 @@ def edges_of(ways: DataFrame, first: int) -> DataFrame:
         node_of(F.col("way"), F.substring("word", F.lit(1), F.col("depth"))).alias("node"),
         F.substring("word", F.col("depth") + 1, F.lit(1)).alias("letter"),
         node_of(F.col("way"), F.substring("word", F.lit(1), F.col("depth") + 1)).alias("child"),
-        signed(rest(F.col("word"), F.col("depth") + 1)).alias("bit"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), mark_of(rest(F.col("word"), F.col("depth") + 1))).alias("bit"),
     )
     return edges.groupBy("depth", "node", "letter", "child").agg(F.bit_or("bit").alias("ends"))
 
@@ -107,20 +107,23 @@ def stepped(states: DataFrame, edges: DataFrame) -> DataFrame:
     at the end of the run, so that no state is made twice. A node has no more
     edges than there are letters: the edges of a partition are its hash table."""
     word, pos, letter = F.col("word"), F.col("pos"), F.col("letter")
-    size = F.length(word)
-    met = states.withColumnRenamed("node", "parent").join(edges.hint("shuffle_hash"), F.col("parent") == F.col("node"))
-    may = lambda at: F.col("ends").bitwiseAND(signed(rest(word, at))) != 0
-    own = lambda at: F.substring(word, at + 1, F.lit(1))
-    clean, edited = F.col("edits") == 0, F.col("edits") == 1
-    to = F.array_compact(
-        F.array(
-            F.when(edited & (letter == own(pos)) & may(pos + 1), pos + 1),  # read on
-            F.when(clean & (pos < size) & (letter != own(pos)) & may(pos + 1), pos + 1),  # replaced
-            F.when(clean & (letter != own(pos)) & may(pos), pos),  # one letter more in the trie; behind the end own() is empty
-            F.when(clean & (letter == own(pos + 1)) & (letter != own(pos)) & may(pos + 2), pos + 2),  # one letter less, then read on
-        )
-    )
-    moved = met.select("word", "way", F.explode(to).alias("pos"), F.col("child").alias("node"))
+    own = lambda k: F.substring(word, pos + (k + 1), F.lit(1))
+    # the bits of the endings from pos, pos + 1 and pos + 2, six digits each, so that they are hashed once a state and not once an edge
+    marks = [F.shiftleft(mark_of(rest(word, pos + k)), 6 * k) for k in range(3)]
+    marked = states.select("word", "way", "pos", "edits", F.col("node").alias("parent"), marks[0].bitwiseOR(marks[1]).bitwiseOR(marks[2]).alias("marks"))
+    met = marked.join(edges.hint("shuffle_hash"), F.col("parent") == F.col("node"))
+
+    def may(k: int) -> Column:
+        at = F.shiftright("marks", 6 * k).bitwiseAND(F.lit(63))
+        return F.call_function("shiftright", F.col("ends"), at).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    clean = F.col("edits") == 0
+    own_letter = letter == own(0)
+    on = may(1) & (~clean & own_letter | clean & ~own_letter & (pos < F.length(word)))  # read on, or replaced
+    more = clean & ~own_letter & may(0)  # one letter more in the trie; behind the end there is no own letter
+    less = clean & ~own_letter & may(2) & (letter == own(1))  # one letter less, then read on
+    to = F.array_compact(F.array(F.when(on, pos + 1), F.when(more, pos), F.when(less, pos + 2)))
+    moved = met.where(on | more | less).select("word", "way", F.explode(to).alias("pos"), F.col("child").alias("node"))
     return moved.withColumn("done", F.col("pos") == F.length("word"))
 
 
