@@ -164,7 +164,7 @@ def test_streams(spark, tmp_path):
     streams.each_batch(stream, lambda batch, _: seen.append(batch.count()))
     assert sum(seen) == 6
     events = spark.createDataFrame([("job.failed",), ("discovery.new",), ("other",)], "event_type string")
-    assert [r.stream for r in streams.routed(events).collect()] == ["jobs_stream", "discovery_stream", "jobs_stream"]
+    assert [r.stream for r in streams.routed(events).collect()] == ["jobs_stream", "discovery_stream", "events_stream"]
 
 
 def test_throttle_equals_the_fold_step_by_step(spark):
