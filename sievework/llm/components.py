@@ -3,8 +3,10 @@
 In each round every edge goes to where its larger end is the key and to where
 its smaller end is, each task unites what it holds and links every node to the
 smallest of its part. No component is gathered in one task or on the driver:
-the edges of a hub, which is the smaller end of many, are dealt over SALTS
-places by their larger end, and the hub's own edge upwards goes to all of them.
+the edges of a hub, which is the smaller end of more than PLACE, are dealt by
+their larger end over as many places as they need, and the hub's own edges
+downwards go to all of them. All other nodes have one place, so that an edge
+is two rows, however many places a hub has.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_side
 
-#: Places over which the edges of one node are dealt.
-SALTS = 3
+#: Edges of one node that stand in one place, on average; a node with more has more places.
+PLACE = 2048
 #: Edges that a task unites at a time; what they link is what the next take up.
 AT_ONCE = 1 << 20
 
@@ -68,6 +70,18 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
 
+def _dealt(current: DataFrame) -> DataFrame:
+    """(hi, lo, key, salt): each edge at one place of its smaller end, and at
+    every place of its larger end, which is one unless that is a hub."""
+    hubs = current.groupBy("lo").agg(F.count("*").alias("n")).where(F.col("n") > PLACE)
+    hubs = saved(hubs.select(F.col("lo").alias("hub"), F.ceil(F.col("n") / PLACE).cast("int").alias("places")))
+    of = lambda end: small_side(hubs.select(F.col("hub").alias(end), F.col("places").alias(f"{end}_places")))
+    edges = current.join(of("lo"), "lo", "left").join(of("hi"), "hi", "left")
+    below = F.struct(F.col("lo").alias("key"), F.pmod(F.xxhash64("hi"), F.coalesce("lo_places", F.lit(1))).cast("int").alias("salt"))
+    above = F.transform(F.sequence(F.lit(0), F.coalesce("hi_places", F.lit(1)) - 1), lambda s: F.struct(F.col("hi").alias("key"), s.alias("salt")))
+    return edges.select("hi", "lo", F.explode(F.concat(F.array(below), above)).alias("at")).select("hi", "lo", "at.key", "at.salt")
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(node, root) for every node of an edge, root the smallest node reachable.
 
@@ -80,13 +94,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
     given = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     current = saved(given.select(*ends).mapInArrow(contracted, "hi long, lo long").distinct())
     state = _state(current)
-    everywhere = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.struct(F.col("hi").alias("key"), s.alias("salt")))
-    below = F.array(F.struct(F.col("lo").alias("key"), F.pmod(F.xxhash64("hi"), SALTS).cast("int").alias("salt")))
     for _ in range(max_rounds):
         if not state[0]:
             break
-        dealt = current.select("hi", "lo", F.explode(F.concat(everywhere, below)).alias("at")).select("hi", "lo", "at.key", "at.salt")
-        current = saved(dealt.repartition("key", "salt").select("hi", "lo").mapInArrow(contracted, "hi long, lo long").distinct())
+        current = saved(_dealt(current).repartition("key", "salt").select("hi", "lo").mapInArrow(contracted, "hi long, lo long").distinct())
         was, state = state, _state(current)
         if was == state:
             break

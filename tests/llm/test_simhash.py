@@ -6,7 +6,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from sievework.llm import bitslice, simhash
+from sievework.llm import bitslice, components, simhash
 from sievework.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,6 +115,30 @@ def test_components_on_paths_stars_and_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_hubs_have_several_places(spark, monkeypatch):
+    """Stars whose centres are linked to each other, larger than one place, and a chain that ends in one."""
+    monkeypatch.setattr(components, "PLACE", 16)
+    monkeypatch.setattr(components, "AT_ONCE", 64)
+    rng = random.Random(8)
+    edges = [(centre, 1000 * centre + i) for centre in (5, 3, 4) for i in range(300)] + [(5, 4), (9001, 9000), (9000, 3299), (9001, 9002), (3, 70000), (70000, 4001)]
+    rng.shuffle(edges)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7), "a", "b").collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {x: top(x) for x in parent}
+    current = spark.range(1, 400).selectExpr("id AS hi", "0L AS lo")
+    dealt = components._dealt(current)
+    assert dealt.count() == 2 * 399 and dealt.where("key = 0").groupBy("salt").count().agg({"count": "max"}).first()[0] < 40
+
+
 def edge_rows():
     long = "word " * 60_000
     return [
