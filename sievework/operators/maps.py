@@ -91,8 +91,8 @@ def first_place(body: Column) -> Column:
     return found.asNondeterministic()(body)  # one search a payload
 
 
-def place_records(payloads: DataFrame) -> DataFrame:
-    """One row a payload (page_id, payload_no, body) that holds a place."""
+def place_records(payloads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a payload (page_id, payload_no, body) that holds a place; other columns of it are kept on demand."""
     p = F.try_parse_json(first_place(F.col("body")))
     rows = payloads.withColumn("p", p).where("p is not null")
     p = F.col("p")
@@ -102,7 +102,7 @@ def place_records(payloads: DataFrame) -> DataFrame:
         lambda r: F.struct(at(r, "$.author_name").alias("author"), at(r, "$.rating", "double").alias("rating"), F.substring(at(r, "$.text"), 1, REVIEW_CHARS).alias("text")),
     )
     return rows.select(
-        "page_id", at(p, "$.place_id").alias("place_id"), at(p, "$.name").alias("name"), at(p, "$.formatted_address").alias("address"),
+        "page_id", *keep, at(p, "$.place_id").alias("place_id"), at(p, "$.name").alias("name"), at(p, "$.formatted_address").alias("address"),
         at(p, "$.website").alias("website"), at(p, "$.geometry.location.lat", "double").alias("latitude"), at(p, "$.geometry.location.lng", "double").alias("longitude"),
         at(p, "$.rating", "double").alias("rating"), at(p, "$.user_ratings_total", "int").alias("reviews_count"),
         F.coalesce(at(p, "$.formatted_phone_number"), at(p, "$.international_phone_number")).alias("phone"), at(p, "$.types[0]").alias("category"),

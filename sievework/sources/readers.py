@@ -45,19 +45,18 @@ def extraction_schema(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def sitemap_urls(documents: DataFrame) -> DataFrame:
-    """(root, url, nested) from (root, xml): pages of a urlset, sitemaps of an
-    index; what does not parse, or declares entities, gives nothing. At most
-    MAX_SITEMAP_URLS pages a root."""
+def sitemap_entries(xml: Column) -> Column:
+    """Struct of whether a sitemap is an index, and its places in order; none of
+    what does not parse, or declares entities."""
 
     @F.pandas_udf("struct<nested:boolean,urls:array<string>>")
-    def parsed(part: pd.Series) -> pd.DataFrame:
+    def entries(part: pd.Series) -> pd.DataFrame:
         rows = []
-        for xml in part:
+        for text in part:
             try:
-                if not xml or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
+                if not text or "<!DOCTYPE" in text or "<!ENTITY" in text:
                     raise ET.ParseError("no document type wanted")
-                top = ET.fromstring(xml)
+                top = ET.fromstring(text)
             except ET.ParseError:
                 rows.append((False, []))
                 continue
@@ -65,12 +64,63 @@ def sitemap_urls(documents: DataFrame) -> DataFrame:
             rows.append((top.tag.rsplit("}", 1)[-1] == "sitemapindex", urls))
         return pd.DataFrame(rows, columns=["nested", "urls"])
 
-    found = documents.select("root", parsed(F.col("xml")).alias("p"))
+    return entries.asNondeterministic()(xml)  # one parse a file
+
+
+def sitemap_urls(documents: DataFrame) -> DataFrame:
+    """(root, url, nested) from (root, xml): pages of a urlset, sitemaps of an
+    index. At most MAX_SITEMAP_URLS pages a root."""
+    found = documents.select("root", sitemap_entries(F.col("xml")).alias("p"))
     rows = found.select("root", "p.nested", F.posexplode("p.urls").alias("pos", "url"))
     rank = F.row_number().over(Window.partitionBy("root", "nested").orderBy("pos", "url"))
     return rows.withColumn("rank", rank).where(F.col("nested") | (F.col("rank") <= MAX_SITEMAP_URLS)).select("root", "url", "nested")
 
 
+def site_pages(places: DataFrame, files: DataFrame, most: int = MAX_SITEMAP_URLS) -> DataFrame:
+    """(root, rank, url): the first `most` pages of each site, by its sitemaps.
+
+    places: (root, place_no, url) of the sitemaps that a site names, in order;
+    files: (url, xml, status) of those that were fetched, nested ones too. A
+    sitemap's own pages come where it stands, those of an index in the order
+    of its entries; an index within an index, and what was not fetched with
+    status 200, is passed over. Each file is parsed once, however often it is named.
+    """
+    read = files.where("status = 200").select(F.col("url").alias("file"), sitemap_entries(F.col("xml")).alias("p")).select("file", "p.*")
+    pages = read.where("not nested").select("file", F.posexplode("urls").alias("pos", "page"))
+    inner = read.where("nested").select("file", F.posexplode("urls").alias("index_no", "inner"))
+    named = places.select("root", "place_no", F.col("url").alias("file"))
+    below = named.join(inner, "file").select("root", "place_no", (F.col("index_no") + 1).alias("index_no"), F.col("inner").alias("file"))
+    rows = named.withColumn("index_no", F.lit(0)).unionByName(below).join(pages, "file")
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("place_no", "index_no", "pos"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("root", "rank", F.col("page").alias("url"))
+
+
+def crawl_delays(files: DataFrame) -> DataFrame:
+    """(host, delay_s) that robots files (host, content) ask of every agent; only whole seconds count, the last one of a file."""
+    lines = files.select("host", F.posexplode(F.split("content", "\\r?\\n")).alias("n", "line")).select("host", "n", F.trim(F.substring_index("line", "#", 1)).alias("line"))
+    agent = F.trim(F.regexp_extract("line", "(?i)^user-agent:(.*)$", 1))
+    order = Window.partitionBy("host").orderBy("n")  # one file
+    section = F.last(F.when(F.col("line").rlike("(?i)^user-agent:"), agent), ignorenulls=True).over(order)
+    delay = F.regexp_extract("line", r"(?i)^crawl-delay:\s*(\d+)$", 1)
+    return lines.withColumn("agent", section).withColumn("delay", delay).where("agent = '*' and delay <> ''").groupBy("host").agg(F.max_by(F.col("delay").cast("double"), "n").alias("delay_s"))
+
+
+def crawl_schedule(urls: DataFrame, delays: DataFrame, key: str, default_s: float = 0.0, run: int = 10_000) -> DataFrame:
+    """urls (host, key long and others) with start_s: a host's URLs start one delay apart, by key.
+
+    Keys are unique. A host's places are counted in runs of keys, then summed
+    over the runs, so that no host is ordered in one task.
+    """
+    part = F.floor(F.col(key) / run)
+    counts = urls.groupBy("host", part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("host", "part", before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("host", "part").orderBy(key)) - 1
+    placed = urls.withColumn("part", part).withColumn("place", place).join(offsets, ["host", "part"]).join(delays, "host", "left")
+    start = (F.col("place") + F.col("before")) * F.coalesce("delay_s", F.lit(default_s))
+    return placed.withColumn("start_s", start).drop("part", "place", "before", "delay_s")
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
     """(host, path) that robots files (host, content) disallow for every agent."""
     lines = files.select("host", F.posexplode(F.split("content", "\n")).alias("n", "line")).select("host", "n", F.trim("line").alias("line"))
