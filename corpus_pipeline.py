@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on five-word shingles; texts
-    without words, null ones among them, are one group."""
+    """One document of each group of near copies: SimHash finds the close ones, a
+    prefix filter on five-word shingles the rest; texts without words, null
+    ones among them, are one group."""
     return keep_first_of_group(docs)
 
 

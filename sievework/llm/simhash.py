@@ -77,8 +77,9 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Near copies of the pipeline: five-word shingles, similarity, texts compared in one place.
-WIDTH, SIMILAR, CHUNK = 5, 0.8, 256
+#: Near copies of the pipeline: five-word shingles, bits in which the fingerprints
+#: of close ones differ at most, similarity, texts compared in one place.
+WIDTH, RADIUS, SIMILAR, CHUNK = 5, 4, 0.8, 256
 #: Shingles whose hash falls in so many of eight classes are counted over all texts.
 SAMPLED = 3
 #: Classes of the shingle counts that a pair is weighed by before its shingles are compared.
@@ -96,20 +97,29 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared >= SIMILAR * (len(a) + len(b) - shared) - 1e-9
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
+
+
 def own_shingles(text: bytes | None) -> np.ndarray:
     """The text's distinct shingles; texts without words share one that stands for none."""
-    h = np.unique(shingle_hashes(text or b"", WIDTH))
-    return h if len(h) else np.zeros(1, np.uint64)
+    return distinct(shingle_hashes(text or b"", WIDTH))
 
 
 def shingle_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, n, m) from (doc_id, mark, text): the number of the text's
-    shingles, and of those in the sampled classes."""
+    """(doc_id, mark, n, m, fp) from (doc_id, mark, text): the number of the text's
+    shingles, and of those in the sampled classes, and the text's fingerprint."""
     for batch in batches:
-        every = [own_shingles(x) for x in batch.column("text").to_pylist()]
-        n, m = [len(h) for h in every], [int((h & np.uint64(7) < SAMPLED).sum()) for h in every]
-        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(m, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "m"])
+        n, m, fps = [], [], []
+        for text in batch.column("text").to_pylist():
+            every = shingle_hashes(text or b"", WIDTH)
+            own = distinct(every)
+            n.append(len(own))
+            m.append(int((own & np.uint64(7) < SAMPLED).sum()))
+            fps.append(majority(every) if len(every) else 0)
+        fp = np.array(fps, np.uint64).view(np.int64)
+        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(fp)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "m", "fp"])
 
 
 def exploded(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
@@ -169,18 +179,19 @@ def possible_pairs(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def near_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between the marks of rows (g, lo, hi, mark, text) whose texts
+    """Links (a, b) between the marks of rows (g, lo, hi, mark, own, text) whose texts
     are similar, group by group. A pair that other links connect already is not
-    compared."""
+    compared; texts of the same `own` are connected from the beginning."""
     keys = ["g", "lo", "hi"]
     for batch in whole_groups(batches, keys, rows=2_000):
         numbers = group_numbers(batch, keys)
         starts = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]), len(numbers)]
-        marks, texts = batch.column("mark").to_pylist(), batch.column("text")
+        marks, owns, texts = batch.column("mark").to_pylist(), batch.column("own").to_pylist(), batch.column("text")
         a, b = [], []
         for first, last in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             sets = [own_shingles(texts[i].as_py()) for i in range(first, last)]
-            root = list(range(last - first))
+            met: dict[int, int] = {}
+            root = [met.setdefault(x, i) for i, x in enumerate(owns[first:last])]
 
             def top(x: int, root=root) -> int:
                 while root[x] != x:
@@ -200,8 +211,8 @@ def by_shingle(rows: DataFrame) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h")
 
 
-def sharing(signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(mark, n, first): the texts of (mark, n, m, order) that can have a near copy.
+def sharing(firsts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(mark, n, first): the texts of (mark, n, m, first) that can have a near copy.
 
     All but a fifth of such a text's shingles are in the copy, so that a text
     with more that no other text has is left out. Those of the sampled classes
@@ -209,7 +220,6 @@ def sharing(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """
     rows = texts.select("mark", "text").mapInArrow(sampled_shingles, "mark long, h long")
     shared = by_shingle(rows).mapInArrow(shared_counts, "mark long, shared long").groupBy("mark").agg(F.sum("shared").alias("shared"))
-    firsts = signed.groupBy("mark").agg(F.min("order").alias("first"), F.first("n").alias("n"), F.first("m").alias("m"))
     alone = F.col("m") - F.coalesce("shared", F.lit(0))
     return firsts.join(shared, "mark", "left").where(alone <= F.floor(F.col("n") / 5)).select("mark", "n", "first")
 
@@ -239,16 +249,19 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
 
     Texts are linked if they are equal, or if the similarity of their five-word
     shingles is SIMILAR or more; no such pair is passed over. Texts without
-    words, null ones among them, are one group. Texts of candidates alone are
+    words, null ones among them, are one group. Close copies come first: texts
+    whose fingerprints are linked in steps of RADIUS bits are compared. The
+    prefix filter then finds what else can be similar, and groups of it that
+    are not connected by then are compared. Texts of candidates alone are
     compared, in chunks of CHUNK; to find them all texts are joined with them.
     """
     small_batches(docs.sparkSession)
     mark = F.xxhash64("text")
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
-    signed = saved(texts.mapInArrow(shingle_numbers, "doc_id long, mark long, n int, m int"))
+    signed = texts.mapInArrow(shingle_numbers, "doc_id long, mark long, n int, m int, fp long")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    signed = signed.withColumn("order", order)
-    able = saved(sharing(signed, texts))
+    of_mark = [F.first(c).alias(c) for c in ("n", "m", "fp")]  # equal texts have the same
+    firsts = saved(signed.withColumn("order", order).groupBy("mark").agg(F.min("order").alias("first"), *of_mark))
 
     def with_text(wanted: DataFrame) -> DataFrame:
         """The text of each row's first document."""
@@ -256,24 +269,34 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
         found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
         return found.drop("doc_id", "of_id", "of_mark")
 
+    def compared(candidates: DataFrame) -> DataFrame:
+        """Links (a, b) between similar texts of (mark, first, g, own), group by
+        group; groups whose texts are all of one `own` are connected."""
+        open_ones = candidates.groupBy("g").agg(F.count("*").alias("k"), F.min("own").alias("low"), F.max("own").alias("high")).where("low < high")
+        dealt = (
+            with_text(candidates.join(open_ones.select("g", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks")), "g"))
+            .withColumn("c", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .select("g", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), "mark", "own", "text")
+        )
+        by = ["g", "lo", "hi"]
+        return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(near_copies, "a long, b long")
+
+    close = near_groups(firsts.select(F.col("mark").alias("doc_id"), "fp"), RADIUS).withColumnRenamed("component_id", "g")
+    close = saved(firsts.join(close, "fp").select("mark", "first", "g", F.col("mark").alias("own")))
+    settled = saved(connected_components(compared(close), "a", "b").select(F.col("node").alias("mark"), F.col("root").alias("own")))
+
+    able = saved(sharing(firsts, texts))
     links = candidate_links(with_text(able.select("mark", "first")).select("mark", "text"), able.select("mark", "n"))
     groups = connected_components(links, "a", "b").select(F.col("node").alias("mark"), F.col("root").alias("g"))
-    candidates = saved(able.join(groups, "mark").select("mark", "first", "g"))
-    sizes = candidates.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = (
-        with_text(candidates.join(sizes, "g"))
-        .withColumn("c", F.pmod(F.xxhash64("mark"), F.col("chunks")).cast("int"))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("g", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), "mark", "text")
-    )
-    by = ["g", "lo", "hi"]
-    links = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(near_copies, "a long, b long")
+    rest = able.join(groups, "mark").join(settled, "mark", "left")
+    rest = saved(rest.select("mark", "first", "g", F.coalesce("own", "mark").alias("own")))
+    links = compared(rest).unionAll(settled.select(F.col("mark").alias("a"), F.col("own").alias("b")))
     roots = connected_components(links, "a", "b").withColumnRenamed("node", "mark")
-    linked = candidates.join(roots, "mark").select("root", "mark", "first")
+    linked = firsts.join(roots, "mark").select("root", "mark", "first")
     heads = linked.groupBy("root").agg(F.min("first").alias("first"))
     # a text's own first row stays, unless its group has an earlier one
     lost = linked.join(heads.withColumnRenamed("first", "head"), "root").where(F.col("first") != F.col("head")).select("mark")
-    firsts = signed.groupBy("mark").agg(F.min("order").alias("first"))
     winners = firsts.join(lost, "mark", "left_anti").select(F.col("first.doc_id").alias("won_id"), F.col("mark").alias("won_mark"))
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]  # no column of docs can clash with the helpers

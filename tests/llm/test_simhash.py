@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -217,3 +218,35 @@ def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
     for chunk in (256, 4):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         assert {r.doc_id for r in simhash.keep_first_of_group(docs).collect()} == all_pairs_first(rows)
+
+
+def test_simhash_finds_the_close_copies_and_the_prefix_filter_the_rest(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for k in range(20):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        for i, changed in enumerate((0, 1, 6)):  # as it is, a close copy, a far one of similarity 0.81 or more
+            words = list(base)
+            for at in rng.sample(range(300), changed):
+                words[at] = f"new{rng.randrange(3000)}"
+            rows.append((10 * k + i, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in simhash.keep_first_of_group(docs).collect()} == all_pairs_first(rows) == {10 * k for k in range(20)}
+
+    # without the prefix filter the close copies go, and only texts that have one
+    monkeypatch.setattr(simhash, "candidate_links", lambda texts, sizes: spark.createDataFrame([], "a long, b long"))
+    fps = {i: simhash.fingerprint(t.encode(), simhash.WIDTH) % (1 << 64) for i, t in rows}
+    root = slow_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS)
+    want = {min(x for x in fps if root[x] == r) for r in set(root.values())}
+    assert {r.doc_id for r in simhash.keep_first_of_group(docs).collect()} == want
+    assert all_pairs_first(rows) < want < set(fps)
+
+
+def test_texts_connected_from_the_beginning_are_not_compared(monkeypatch):
+    asked = []
+    monkeypatch.setattr(simhash, "similar", lambda a, b: asked.append(1) or True)
+    text = " ".join(f"w{i}" for i in range(50)).encode()
+    names = ["g", "lo", "hi", "mark", "own", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([1] * 3, [0] * 3, [0] * 3, [5, 6, 7], [5, 5, 7], [text] * 3)], names)
+    got = list(simhash.near_copies(iter([batch])))
+    assert len(asked) == 1 and got[0].column("a").to_pylist() == [5] and got[0].column("b").to_pylist() == [7]
