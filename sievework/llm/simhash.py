@@ -107,19 +107,21 @@ def own_shingles(text: bytes | None) -> np.ndarray:
 
 
 def shingle_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark, n, m, fp) from (doc_id, mark, text): the number of the text's
-    shingles, and of those in the sampled classes, and the text's fingerprint."""
+    """(doc_id, mark, n, m, fp, own) from (doc_id, mark, text): the number of the text's
+    shingles, and of those in the sampled classes, the text's fingerprint, and
+    the hash of its set of shingles."""
     for batch in batches:
-        n, m, fps = [], [], []
+        n, m, fps, sets = [], [], [], []
         for text in batch.column("text").to_pylist():
             every = shingle_hashes(text or b"", WIDTH)
             own = distinct(every)
             n.append(len(own))
             m.append(int((own & np.uint64(7) < SAMPLED).sum()))
             fps.append(majority(every) if len(every) else 0)
-        fp = np.array(fps, np.uint64).view(np.int64)
-        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), pa.array(fp)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "m", "fp"])
+            sets.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+        fp, of_set = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sets))
+        columns = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int32()), pa.array(m, pa.int32()), fp, of_set]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "m", "fp", "own"])
 
 
 def exploded(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def by_shingle(rows: DataFrame) -> DataFrame:
 
 
 def sharing(firsts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(mark, n, first): the texts of (mark, n, m, first) that can have a near copy.
+    """The rows (mark, n, m, ...) of texts that can have a near copy.
 
     All but a fifth of such a text's shingles are in the copy, so that a text
     with more that no other text has is left out. Those of the sampled classes
@@ -221,7 +223,7 @@ def sharing(firsts: DataFrame, texts: DataFrame) -> DataFrame:
     rows = texts.select("mark", "text").mapInArrow(sampled_shingles, "mark long, h long")
     shared = by_shingle(rows).mapInArrow(shared_counts, "mark long, shared long").groupBy("mark").agg(F.sum("shared").alias("shared"))
     alone = F.col("m") - F.coalesce("shared", F.lit(0))
-    return firsts.join(shared, "mark", "left").where(alone <= F.floor(F.col("n") / 5)).select("mark", "n", "first")
+    return firsts.join(shared, "mark", "left").where(alone <= F.floor(F.col("n") / 5)).drop("m", "shared")
 
 
 def candidate_links(texts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -242,6 +244,25 @@ def candidate_links(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     return early.join(early.groupBy("h").agg(F.min("mark").alias("low")), "h").select(F.col("mark").alias("a"), F.col("low").alias("b"))
 
 
+def lowest_of(texts: DataFrame, column: str) -> DataFrame:
+    """(column, low): the smallest mark of the texts of (mark, column) that share a value."""
+    return texts.groupBy(column).agg(F.min("mark").alias("low"))
+
+
+def to_lowest(texts: DataFrame, lowest: DataFrame, column: str) -> DataFrame:
+    """(a, b): a link from each text to the lowest of its value; none from that itself."""
+    return texts.join(lowest, column).where(F.col("mark") != F.col("low")).select(F.col("mark").alias("a"), F.col("low").alias("b"))
+
+
+def close_links(texts: DataFrame) -> DataFrame:
+    """(a, b): links that connect the texts of (mark, fp) whose fingerprints are
+    connected in steps of RADIUS bits; the smallest mark stands for a fingerprint."""
+    lowest = saved(lowest_of(texts, "fp"))
+    of = lambda end: lowest.select(F.col("fp").alias(end), F.col("low").alias(f"low_{end}"))
+    links = hamming_links(lowest.select("fp"), RADIUS).distinct().join(of("a"), "a").join(of("b"), "b")
+    return to_lowest(texts, lowest, "fp").unionAll(links.select("low_a", "low_b"))
+
+
 def keep_first_of_group(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: the one of the smallest
     (doc_id, text hash), null doc_ids last. Columns and their order stay; rows
@@ -249,18 +270,19 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
 
     Texts are linked if they are equal, or if the similarity of their five-word
     shingles is SIMILAR or more; no such pair is passed over. Texts without
-    words, null ones among them, are one group. Close copies come first: texts
-    whose fingerprints are linked in steps of RADIUS bits are compared. The
-    prefix filter then finds what else can be similar, and groups of it that
-    are not connected by then are compared. Texts of candidates alone are
-    compared, in chunks of CHUNK; to find them all texts are joined with them.
+    words, null ones among them, are one group. Candidates are texts whose
+    fingerprints are linked in steps of RADIUS bits, the close copies, and what
+    the prefix filter links, which is all that can be similar. Their groups
+    together are compared; texts of the same set of shingles are connected
+    without that. Texts of candidates alone are compared, in chunks of CHUNK;
+    to find them all texts are joined with them.
     """
     small_batches(docs.sparkSession)
     mark = F.xxhash64("text")
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("binary").alias("text"))
-    signed = texts.mapInArrow(shingle_numbers, "doc_id long, mark long, n int, m int, fp long")
+    signed = texts.mapInArrow(shingle_numbers, "doc_id long, mark long, n int, m int, fp long, own long")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    of_mark = [F.first(c).alias(c) for c in ("n", "m", "fp")]  # equal texts have the same
+    of_mark = [F.first(c).alias(c) for c in ("n", "m", "fp", "own")]  # equal texts have the same
     firsts = saved(signed.withColumn("order", order).groupBy("mark").agg(F.min("order").alias("first"), *of_mark))
 
     def with_text(wanted: DataFrame) -> DataFrame:
@@ -282,16 +304,11 @@ def keep_first_of_group(docs: DataFrame) -> DataFrame:
         by = ["g", "lo", "hi"]
         return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(near_copies, "a long, b long")
 
-    close = near_groups(firsts.select(F.col("mark").alias("doc_id"), "fp"), RADIUS).withColumnRenamed("component_id", "g")
-    close = saved(firsts.join(close, "fp").select("mark", "first", "g", F.col("mark").alias("own")))
-    settled = saved(connected_components(compared(close), "a", "b").select(F.col("node").alias("mark"), F.col("root").alias("own")))
-
     able = saved(sharing(firsts, texts))
     links = candidate_links(with_text(able.select("mark", "first")).select("mark", "text"), able.select("mark", "n"))
-    groups = connected_components(links, "a", "b").select(F.col("node").alias("mark"), F.col("root").alias("g"))
-    rest = able.join(groups, "mark").join(settled, "mark", "left")
-    rest = saved(rest.select("mark", "first", "g", F.coalesce("own", "mark").alias("own")))
-    links = compared(rest).unionAll(settled.select(F.col("mark").alias("a"), F.col("own").alias("b")))
+    groups = connected_components(links.unionAll(close_links(able.select("mark", "fp"))), "a", "b")
+    rest = saved(able.join(groups.select(F.col("node").alias("mark"), F.col("root").alias("g")), "mark").select("mark", "first", "g", "own"))
+    links = compared(rest).unionAll(to_lowest(rest, lowest_of(rest, "own"), "own"))
     roots = connected_components(links, "a", "b").withColumnRenamed("node", "mark")
     linked = firsts.join(roots, "mark").select("root", "mark", "first")
     heads = linked.groupBy("root").agg(F.min("first").alias("first"))

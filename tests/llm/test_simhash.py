@@ -250,3 +250,23 @@ def test_texts_connected_from_the_beginning_are_not_compared(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(x) for x in ([1] * 3, [0] * 3, [0] * 3, [5, 6, 7], [5, 5, 7], [text] * 3)], names)
     got = list(simhash.near_copies(iter([batch])))
     assert len(asked) == 1 and got[0].column("a").to_pylist() == [5] and got[0].column("b").to_pylist() == [7]
+
+
+def test_stars_need_no_round_and_no_look_for_hubs(spark, monkeypatch):
+    """Each round is stages and broadcasts that the driver keeps: a star is settled as it is, and
+    one that comes in parts takes no table of hubs."""
+    kept = []
+    monkeypatch.setattr(components, "saved", lambda df, real=components.saved: kept.append(1) or real(df))
+    star = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long").coalesce(1)
+    assert {r.root for r in connected_components(star, "a", "b").collect()} == {0} and len(kept) == 1
+    kept.clear()
+    parts = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 2)], "a long, b long").repartition(4)
+    assert {r.root for r in connected_components(parts, "a", "b").collect()} == {2}
+    assert len(kept) <= 1 + 3  # the edges, then no more than one table a round
+
+
+def test_close_links_are_as_few_as_connect(spark):
+    """Texts of one fingerprint are a star around the smallest, close fingerprints are linked once, others not at all."""
+    texts = spark.createDataFrame([(3, 0), (1, 0), (2, 0), (9, 7), (8, 7), (5, -1), (6, 1 << 40 | 0xFFFFF)], "mark long, fp long")
+    links = sorted((min(r.a, r.b), max(r.a, r.b)) for r in simhash.close_links(texts).toDF("a", "b").collect())
+    assert sorted(set(links)) == [(1, 2), (1, 3), (1, 8), (8, 9)] and links.count((1, 8)) <= 2
